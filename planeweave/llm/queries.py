@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from planeweave.llm import packing, quality, simhash, tokens
+from planeweave.llm import html, mixing, packing, quality, secrets, simhash, tokens
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
@@ -33,9 +34,31 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    """(id, domain) of the labels: toxic, else clean or low by quality; rows without a label are left out."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "low")
+    return labels.select(F.col("doc_id").alias("id"), domain.alias("domain")).where("id IS NOT NULL AND domain IS NOT NULL")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates, up to four, for as many tokens as there are: nine in ten of clean text, one of low, none of toxic text."""
+    weights = {"clean": 0.9, "low": 0.1, "toxic": 0.0}
+    found = mixing.mix(_table(spark, sf_dir, "documents"), domains_of(_table(spark, sf_dir, "labels")), weights, public_tokenizers.path(WORD_BPE))
+    p = F.col("posteriors")
+    return found.select("doc_id", "n_tokens", *(p[i].alias(f"p_{d}") for i, d in enumerate(sorted(weights))), "rate", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The ten operators' queries by name."""
-    found = [op2_quality_rules, op4_token_counts, op5_simhash_near_dedup, op6_packing]
+    found = [op2_quality_rules, op4_token_counts, op5_simhash_near_dedup, op6_packing, op7_secret_scan, op9_html_extraction, op10_mixing]
     return {f.__name__: f for f in found}
 
 
