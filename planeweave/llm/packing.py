@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planeweave.llm.common import utf8_column
 from planeweave.llm.tokens import chunk_table
 
 #: Examples that wait in a task to be placed.
@@ -136,11 +137,6 @@ class Packer:
             left -= size
 
 
-def id_bytes(ids: list[int]) -> bytes:
-    """What the id table keeps of a chunk: its ids, little-endian, four bytes each."""
-    return np.array(ids, dtype="<u4").tobytes()
-
-
 def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", turns: Column | None = None, tokens: int = 4096, segments: int = 256, loss: int | None = None) -> DataFrame:
     """Pack every row of ``df`` into sequences of at most ``tokens`` ids, ``segments`` pieces and ``loss`` loss-bearing ids.
 
@@ -153,10 +149,10 @@ def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col
     Repeated rows are packed each; an empty table gives no rows; further columns are left out.
     """
     out = pa.schema([(id_col if k == 0 else name, pa.int64()) for k, name in enumerate(("", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "padded_length"))])
-    end = id_bytes([end_id])
+    end = np.array([end_id], "<u4").tobytes()
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = chunk_table(path, id_bytes)
+        table = chunk_table(path, False)
         packer = Packer(tokens, segments, tokens if loss is None else loss, first=TaskContext.get().partitionId() << 36)
 
         def given() -> pa.RecordBatch:
@@ -167,14 +163,16 @@ def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col
         for batch in batches:
             keys = batch.column(0).to_pylist()
             if turns is None:
-                for key, text in zip(keys, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    ids = b"".join(table.of((text or b"").split())) + end
+                for key, values in zip(keys, table.of(utf8_column(batch, text_col)), strict=True):
+                    ids = b"".join(values) + end
                     packer.add(Example(key, ids, len(ids) // 4))
                     if len(packer.pieces) > 8192:
                         yield given()
             else:
-                for key, parts in zip(keys, batch.column(1).to_pylist(), strict=True):
-                    spans = [(b"".join(table.of(((t or {}).get("text") or "").encode().split())), bool((t or {}).get("loss"))) for t in parts or []]
+                rows = [[((t or {}).get("text") or "", bool((t or {}).get("loss"))) for t in parts or []] for parts in batch.column(1).to_pylist()]
+                values = table.of([text.encode() for parts in rows for text, _ in parts])
+                for key, parts in zip(keys, rows, strict=True):
+                    spans = [(b"".join(next(values)), flag) for _, flag in parts]
                     flags = [np.full(len(b) // 4, f) for b, f in spans] + [np.array([spans[-1][1] if spans else False])]
                     ids = b"".join(b for b, _ in spans) + end
                     packer.add(Example(key, ids, len(ids) // 4, loss=np.concatenate([[0], np.cumsum(np.concatenate(flags))])))

@@ -13,9 +13,12 @@ chunk is ever shuffled: a task sends one bounded sketch, and texts are counted w
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +30,13 @@ FREQUENT = 16_384
 #: Longer chunks are encoded each time and kept in neither tier.
 LONGEST = 64
 #: Entries of a worker's table before its second tier is emptied.
-CACHE = 400_000
+CACHE = 1_000_000
+#: Texts whose chunks are looked up together.
+TOGETHER = 256
+#: Chunks joined in one string for the library.
+JOINED = 50
+#: Chunks whose pre-tokens are known: letters of Latin-1, then a run of stops or none. Each pre-token ends in a token with a word end.
+PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+([.,;:!?]*)")
 
 _loaded: dict[str, object] = {}
 _tables: dict[tuple, ChunkTable] = {}
@@ -44,36 +53,66 @@ def tokenizer(path: str):
 
 
 class ChunkTable:
-    """Chunk to ``measure(token ids)``, in two tiers that are looked up as one dictionary."""
+    """Chunk to its ids (little-endian, four bytes each) or, with ``counts``, to their number; two tiers, looked up as one."""
 
-    def __init__(self, path: str, measure, frequent: dict | None = None, limit: int = CACHE):
-        self.path, self.measure, self.frequent, self.limit = path, measure, frequent or {}, limit
+    def __init__(self, path: str, counts: bool, frequent: dict | None = None, limit: int = CACHE):
+        self.path, self.counts, self.frequent, self.limit = path, counts, frequent or {}, limit
         self.table = dict(self.frequent)
-
-    def of(self, chunks: list[bytes]) -> list:
-        """The values of ``chunks`` in order."""
-        try:
-            return list(map(self.table.__getitem__, chunks))
-        except KeyError:
-            return self._learn(chunks)
-
-    def _learn(self, chunks: list[bytes]) -> list:
-        if len(self.table) > self.limit:
-            self.table = dict(self.frequent)
-        missing = list(set(chunks).difference(self.table))
-        encoded = tokenizer(self.path).encode_batch_fast([c.decode() for c in missing], add_special_tokens=False)
-        fresh = {c: self.measure(e.ids) for c, e in zip(missing, encoded, strict=True)}
-        self.table.update((c, v) for c, v in fresh.items() if len(c) <= LONGEST)
-        if all(len(c) <= LONGEST for c in missing):
-            return list(map(self.table.__getitem__, chunks))
-        return [fresh[c] if c in fresh else self.table[c] for c in chunks]
-
-
-def chunk_table(path: str, measure, frequent: dict | None = None, key: object = None) -> ChunkTable:
+        tok = tokenizer(path)
+        self.ends = np.zeros(tok.get_vocab_size(), bool)
+        self.ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def of(self, texts: list[bytes]) -> Iterator[list]:
+        """The values of each text's chunks in order. What is missing is encoded for many texts at once."""
+        for i in range(0, len(texts), TOGETHER):
+            split = [t.split() for t in texts[i : i + TOGETHER]]
+            if len(self.table) > self.limit:
+                self.table = dict(self.frequent)
+            fresh = self.encode(list(set(chain.from_iterable(split)).difference(self.table)))
+            self.table.update(fresh)
+            get = self.table.__getitem__
+            for chunks in split:
+                yield list(map(get, chunks))
+            for c in fresh:
+                if len(c) > LONGEST:
+                    del self.table[c]
+
+    def encode(self, chunks: list[bytes]) -> dict:
+        """The values of ``chunks`` by the library: plain ones joined by spaces in one call, others each by itself."""
+        plain, stops, other = [], [], []
+        for c in chunks:
+            if m := PLAIN.fullmatch(c):
+                plain.append(c)
+                stops.append(2 if m[1] else 1)
+            else:
+                other.append(c)
+        found: dict = {}
+        if plain:
+            tok = tokenizer(self.path)
+            encoded = tok.encode_batch_fast([b" ".join(plain[i : i + JOINED]).decode() for i in range(0, len(plain), JOINED)], add_special_tokens=False)
+            ids = np.array([i for e in encoded for i in e.ids], "<u4")
+            ends, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(stops) - 1
+            if len(ends) == last[-1] + 1:
+                cuts = [0, *ends[last].tolist()]
+                if self.counts:
+                    found = dict(zip(plain, np.diff(cuts).tolist(), strict=True))
+                else:
+                    raw = ids.tobytes()
+                    found = {c: raw[4 * i : 4 * j] for c, i, j in zip(plain, cuts, cuts[1:], strict=False)}
+            else:  # a tokenizer of another kind
+                other = chunks
+        if other:
+            for c, e in zip(other, tokenizer(self.path).encode_batch_fast([c.decode() for c in other], add_special_tokens=False), strict=True):
+                found[c] = len(e.ids) if self.counts else np.array(e.ids, "<u4").tobytes()
+        return found
+
+
+def chunk_table(path: str, counts: bool, frequent: dict | None = None) -> ChunkTable:
     """The worker's table for this use; it outlives a task."""
-    name = (path, measure.__name__, key)
+    name = (path, counts, hash(frozenset((frequent or {}).items())))
     if name not in _tables:
-        _tables[name] = ChunkTable(path, measure, frequent)
+        _tables.clear()
+        _tables[name] = ChunkTable(path, counts, frequent)
     return _tables[name]
 
 
@@ -82,7 +121,7 @@ def _sketch(batches: Iterable[pa.RecordBatch], text_col: str, size: int) -> Iter
     for batch in batches:
         for text in utf8_column(batch, text_col):
             seen.update(text.split())
-            if len(seen) > 16 * size:
+            if len(seen) > 32 * size:
                 seen = Counter(_top(seen, 4 * size))
     kept = [x for x in _top(seen, 2 * size).items() if len(x[0]) <= LONGEST][:size]
     yield pa.record_batch({"chunks": pa.array([[c for c, _ in kept]], pa.list_(pa.binary())), "counts": pa.array([[n for _, n in kept]], pa.list_(pa.int64()))})
@@ -105,11 +144,6 @@ def frequent_chunks(df: DataFrame, text_col: str = "text", size: int = FREQUENT)
     return list(rdd.treeReduce(merged, depth=3)) if rdd.getNumPartitions() else []
 
 
-def token_count(ids: list[int]) -> int:
-    """What the count table keeps of a chunk."""
-    return len(ids)
-
-
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, frequent: int = FREQUENT) -> DataFrame:
     """Per row: ``id_col``, n_bytes, n_tokens, over_limit (n_tokens > ``limit``), as the library's tokenizer counts.
 
@@ -117,15 +151,15 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     further columns, whatever their names, are left out. Texts of any length are counted whole.
     """
     top = frequent_chunks(df, text_col, frequent)
-    known = dict(zip(top, (len(e.ids) for e in tokenizer(path).encode_batch_fast([c.decode() for c in top], add_special_tokens=False)), strict=True))
+    known = ChunkTable(path, counts=True).encode(top)
     shared = df.sparkSession.sparkContext.broadcast(known)
     out = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = chunk_table(path, token_count, shared.value, key=len(shared.value))
+        table = chunk_table(path, True, shared.value)
         for batch in batches:
             texts = utf8_column(batch, text_col)
-            tokens = [sum(table.of(t.split())) for t in texts]
+            tokens = list(map(sum, table.of(texts)))
             yield pa.record_batch([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], schema=out)
 
     return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).mapInArrow(counted, f"{id_col} long, n_bytes long, n_tokens long, over_limit boolean")
