@@ -99,7 +99,7 @@ class Scanner:
         self.all = frozenset().union(*self.sets.values())
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(name, coverage, start, end in code points) of the templates found, by start and name."""
+        """(name, coverage, start, end in code points) of the templates found, by start; no two overlap."""
         low = text.lower()
         if sum(w in low for w in self.all) < min((len(s) for s in self.sets.values()), default=0) * self.least:
             return []
@@ -123,16 +123,17 @@ class Scanner:
                 pairs = patience(template, words[lo:hi])
                 if len(pairs) >= self.least * len(template):
                     best.append((len(pairs) / len(template), lo + pairs[0][1], lo + pairs[-1][1]))
-            taken: list[tuple[float, int, int]] = []
-            for c, lo, hi in sorted(best, key=lambda x: (-x[0], x[2] - x[1], x[1])):
-                if all(hi < s or e < lo for _, s, e in taken):
-                    taken.append((c, lo, hi))
-            found += [(name, c, starts[lo], ends[hi]) for c, lo, hi in taken]
-        return sorted(found, key=lambda x: (x[2], x[0]))
+            found += [(len(template) * c, name, c, lo, hi) for c, lo, hi in best]
+        taken: list[tuple[str, float, int, int]] = []
+        # of those that overlap, the one with most aligned words counts
+        for _, name, c, lo, hi in sorted(found, key=lambda x: (-x[0], x[4] - x[3], x[3], x[1])):
+            if all(hi < s or e < lo for _, _, s, e in taken):
+                taken.append((name, c, lo, hi))
+        return sorted(((name, c, starts[lo], ends[hi]) for name, c, lo, hi in taken), key=lambda x: x[2])
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
-    """Per row: id_col, n_licenses, licenses (array of name, coverage, start, end in code points), by start and name.
+    """Per row: id_col, n_licenses, licenses (array of name, coverage, start, end in code points), by start; no two overlap.
 
     A null or empty text has none. Repeated rows are returned each; an empty table gives no rows; further columns are left out.
     """

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planeweave.llm import html, mixing, packing, quality, secrets, simhash, tokens
+from planeweave.llm import html, licenses, mixing, neighbours, packing, quality, secrets, simhash, tokens, warc
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
@@ -18,10 +18,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    told = F.transform("licenses", lambda x: F.format_string("%s:%.4f:%d:%d", x["license"], x["coverage"], x["start"], x["end"]))
+    return found.select("doc_id", "n_licenses", F.coalesce(F.array_max("licenses.coverage"), F.lit(0.0)).alias("coverage"), F.array_join(told, ",").alias("licenses"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -38,6 +48,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records derived from each page's response: what links them, and a digest of each whole record."""
+    made = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
+    return made.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "content_length", F.sha2("record", 256).alias("record_sha256"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
@@ -58,7 +74,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The ten operators' queries by name."""
-    found = [op2_quality_rules, op4_token_counts, op5_simhash_near_dedup, op6_packing, op7_secret_scan, op9_html_extraction, op10_mixing]
+    found = [
+        op1_nearest_neighbours, op2_quality_rules, op3_license_scan, op4_token_counts, op5_simhash_near_dedup,
+        op6_packing, op7_secret_scan, op8_warc_derivatives, op9_html_extraction, op10_mixing,
+    ]
     return {f.__name__: f for f in found}
 
 
