@@ -5,8 +5,8 @@ text, of which those that tell a domain best are chosen. It is fit on the driver
 ids come first; that bound is a parameter. Everything else covers all rows.
 
 With w the document rates, t their tokens and p their posteriors, the expected tokens of domain d are sum(w t p_d). The
-rates minimise the squared distance of these totals from the targets, in the metric of the inverse of H = sum(t p p'), which
-puts all domains on one scale. Starting from rates of one, projected gradient steps keep 0 <= w <= ``max_rate``; the
+rates minimise the squared distance of these totals from the targets, in the metric of the inverse of H = sum(t p p') and a
+small multiple of the identity, which puts the domains on one scale. Starting from rates of one, projected gradient steps keep 0 <= w <= ``max_rate``; the
 gradient is taken where each document weighs as its tokens, so a document's rate follows from its posteriors and not its
 length. A step needs of a document only p and the step's vector of one number a domain, so a pass recomputes w from
 the vectors so far, sums the totals where the rows are, and sends a few sums a batch. No rate is kept between passes and
@@ -29,59 +29,95 @@ from planeweave.llm.common import cut_lineage, utf8_column
 from planeweave.llm.tokens import chunk_table
 
 #: Labelled documents that the classifier is fit on, at most.
-SAMPLE = 8192
+SAMPLE = 6000
 #: Hashed features, and those chosen for each domain.
 SLOTS, CHOSEN = 1 << 18, 128
 LEAST_DOCS, FIT_STEPS, RIDGE = 5, 150, 1e-4
-STEPS, TOLERANCE = 40, 1e-4
-EDGES = b".,!?;:\"'()"
+#: Steps end when all totals are within this share of the budget, or move by less.
+STEPS, TOLERANCE = 40, 2e-5
+#: Added to H, as a share of all tokens: a domain that hardly occurs counts little, instead of ruling the others.
+LEAST_SHARE = 0.01
+EDGES = ".,!?;:\"'()"
+SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+#: Letters of a word's beginnings.
+BEGINNINGS = (4, 5)
 
-_known: dict[bytes, tuple[int, int, int]] = {}
 
+def _slot(key: str) -> int:
+    return zlib.crc32(key.encode()) % SLOTS
 
-def _slot(key: bytes) -> int:
-    return zlib.crc32(key) % SLOTS
 
+def told_by(word: str) -> list[str]:
+    """What a lower-case word tells: itself without marks at its end, and its first four and five letters."""
+    bare = word.rstrip(EDGES)
+    return [*([f" {bare} "] if bare else []), *(f" {word[:n]}" for n in BEGINNINGS if len(word) >= n)]
 
-def _slots(word: bytes) -> tuple[int, int, int]:
-    bare = word.strip(EDGES)
-    found = _slot(bare), _slot(b"^4" + bare[:4]), _slot(b"^5" + bare[:5])
-    if len(_known) > 300_000:
-        _known.clear()
-    if len(word) <= 64:
-        _known[word] = found
-    return found
 
+def _spaced(text: bytes) -> str:
+    """In lower case, with a space for each white space and around."""
+    return f" {text.translate(SPACES).decode().lower()} "
 
-def features(text: bytes) -> np.ndarray:
-    """The slots of what is in ``text``, sorted."""
-    words = text.lower().split()
-    distinct = set(words)
-    get = _known.get
-    found = {i for w in distinct for i in (get(w) or _slots(w))}
-    n = max(1, len(words))
-    letters = len(text) - len(text.translate(None, b"#*$%&|<>!"))
+
+def shapes(text: bytes, words: int, distinct: int) -> list[str]:
+    """A text's shapes: steps of the shares of distinct words, symbols and capitals, and of letters a word."""
+    n = max(1, words)
+    symbols = len(text) - len(text.translate(None, b"#*$%&|<>!"))
     capitals = len(text) - len(text.translate(None, bytes(range(65, 91))))
-    shapes = (b"distinct", int(20 * len(distinct) / n)), (b"symbols", min(20, int(20 * letters / n))), (b"capitals", min(20, int(5 * capitals / n))), (b"letters", min(20, len(text) // n))
-    return np.array(sorted(found | {_slot(b"~%s%d" % s) for s in shapes}), np.int64)
+    steps = ("distinct", 20 * distinct // n), ("symbols", min(20, 20 * symbols // n)), ("capitals", min(20, 5 * capitals // n)), ("letters", min(20, len(text) // n))
+    return [f"~ {name} {step}" for name, step in steps]
+
+
+def features(text: bytes) -> set[str]:
+    """All that a text tells."""
+    words = text.split()
+    distinct = {w for w in _spaced(text).split(" ") if w}
+    return {f for w in distinct for f in told_by(w)} | set(shapes(text, len(words), len(set(words))))
 
 
 @dataclass
 class Classifier:
-    """weights: a row for each chosen slot, a column for each domain."""
+    """place: the chosen features, each with its row of ``weights``, which has a column for each domain."""
 
     domains: list[str]
-    slots: np.ndarray
+    place: dict[str, int]
     weights: np.ndarray
     bias: np.ndarray
 
+    def __post_init__(self):
+        self.finder = None
+
+    def _build(self) -> None:
+        """An automaton that finds all words and beginnings in one pass over a text."""
+        import ahocorasick
+
+        self.finder = ahocorasick.Automaton()
+        for f, row in self.place.items():
+            if f[-1] == " ":
+                for mark in f" {EDGES}":  # a word is found with what follows it
+                    self.finder.add_word(f[:-1] + mark, (row, mark != " "))
+            elif f[0] == " ":
+                self.finder.add_word(f, (row, False))
+        if len(self.finder):
+            self.finder.make_automaton()
+
+    def _rows(self, text: str) -> set[int]:
+        at: set[int] = set()
+        if not len(self.finder):
+            return at
+        for end, (row, marked) in self.finder.iter(text):
+            if not marked or not text[end : text.index(" ", end)].strip(EDGES):
+                at.add(row)
+        return at
+
     def posteriors(self, texts: list[bytes]) -> np.ndarray:
-        place = np.full(SLOTS, -1, np.int64)
-        place[self.slots] = np.arange(len(self.slots))
+        if self.finder is None:
+            self._build()
         z = np.empty((len(texts), len(self.domains)))
         for i, text in enumerate(texts):
-            at = place[features(text)]
-            z[i] = self.weights[at[at >= 0]].sum(axis=0) + self.bias
+            words = text.split()
+            at = self._rows(_spaced(text))
+            at.update(self.place[s] for s in shapes(text, len(words), len(set(words))) if s in self.place)
+            z[i] = self.weights[sorted(at)].sum(axis=0) + self.bias
         p = np.exp(z - z.max(axis=1, keepdims=True)) if len(texts) else z
         return p / p.sum(axis=1, keepdims=True)
 
@@ -90,9 +126,9 @@ def fit_classifier(rows: list[tuple[bytes, str]], domains: list[str]) -> Classif
     """From (text, domain) rows. A domain without rows gets a posterior near zero; without any rows all are as likely."""
     n, k = len(rows), len(domains)
     if not n:
-        return Classifier(domains, np.zeros(0, np.int64), np.zeros((0, k)), np.zeros(k))
+        return Classifier(domains, {}, np.zeros((0, k)), np.zeros(k))
     y = np.array([domains.index(d) for _, d in rows])
-    found = [features(t) for t, _ in rows]
+    found = [np.array(sorted({_slot(f) for f in features(t)}), np.int64) for t, _ in rows]
     slot, doc = np.concatenate(found), np.repeat(np.arange(n), [len(f) for f in found])
     size = np.bincount(y, minlength=k)
     df = np.stack([np.bincount(slot[y[doc] == c], minlength=SLOTS) for c in range(k)], axis=1)
@@ -103,9 +139,11 @@ def fit_classifier(rows: list[tuple[bytes, str]], domains: list[str]) -> Classif
         z = np.where(total >= LEAST_DOCS, gap / spread, 0)
         best = np.argsort(-z, kind="stable")[:CHOSEN]
         chosen |= set(best[z[best] > 0].tolist())
-    slots = np.array(sorted(chosen), np.int64)
+    # the features of the chosen slots; their slot's row is theirs
+    slots = {s: i for i, s in enumerate(sorted(chosen))}
+    kept = {f: slots[s] for t, _ in rows for f in features(t) if (s := _slot(f)) in slots}
     place = np.full(SLOTS, -1, np.int64)
-    place[slots] = np.arange(len(slots))
+    place[list(slots)] = list(slots.values())
     at, doc = place[slot][place[slot] >= 0], doc[place[slot] >= 0]
     w, b, target = np.zeros((len(slots), k)), np.log((size + 0.5) / (n + 0.5 * k)), np.eye(k)[y]
     mean, square = np.zeros_like(w), np.zeros_like(w)
@@ -117,14 +155,15 @@ def fit_classifier(rows: list[tuple[bytes, str]], domains: list[str]) -> Classif
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         w -= 0.1 * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         b -= 0.05 * off.mean(axis=0)
-    return Classifier(domains, slots, w, b)
+    return Classifier(domains, kept, w, b)
 
 
 def labelled_sample(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, size: int = SAMPLE) -> list[tuple[bytes, str]]:
     """At most ``size`` (text, domain) rows of ``labelled`` (id, domain) documents: those whose hashed ids come first."""
     known = labelled.where(F.col("domain").isin(domains)).groupBy(F.col("id").cast("long").alias("id")).agg(F.min("domain").alias("domain"))
     first = known.orderBy(F.xxhash64("id"), "id").limit(size)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(first, "id").select("id", "text", "domain").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(size)
+    # ``first`` has at most ``size`` rows of an id and a name
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(first), "id").select("id", "text", "domain").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(size)
     return [((r.text or "").encode(), r.domain) for r in rows.toLocalIterator()]
 
 
@@ -136,12 +175,16 @@ def rates(posteriors: np.ndarray, history: np.ndarray, max_rate: float) -> np.nd
     return w
 
 
+def _matrix(column: pa.Array, k: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, k)
+
+
 def _totals(members: DataFrame, history: np.ndarray, max_rate: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Over all rows of (n_tokens, posteriors): expected tokens by domain, and H."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, p = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), float).reshape(-1, k)
+            t, p = batch.column(0).to_numpy(), _matrix(batch.column(1), k)
             sums = [*((rates(p, history, max_rate) * t) @ p), *((p * t[:, None]).T @ p).ravel()]
             yield pa.record_batch({"i": pa.array(range(len(sums)), pa.int32()), "v": pa.array(sums, pa.float64())})
 
@@ -163,30 +206,37 @@ def solve(members: DataFrame, weights: dict[str, float], domains: list[str], tot
     elif np.isinf(total):
         total = min((max_rate * have[d] / share[d] for d in range(k) if share[d] > 0), default=0.0)
     target = share * total
-    inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
+    inverse = np.linalg.inv(gram + LEAST_SHARE * max(have.sum(), 1.0) * np.eye(k))
     history, reached = np.zeros((0, k)), have
     for _ in range(STEPS):
         if not have.sum() or np.abs(reached - target).max() <= TOLERANCE * max(total, 1.0):
             break
         history = np.concatenate([history, [inverse @ (reached - target)]])
-        reached, _ = _totals(members, history, max_rate, k)
+        before, (reached, _) = reached, _totals(members, history, max_rate, k)
+        if np.abs(reached - before).max() <= TOLERANCE * max(total, 1.0):
+            break
     return history, {"domains": domains, "target": target.tolist(), "available": have.tolist(), "reached": reached.tolist(), "steps": len(history)}
 
 
-def _members(df: DataFrame, text_col: str, model: Classifier, path: str) -> DataFrame:
-    """``df`` with n_tokens and posteriors instead of its text."""
+def _members(df: DataFrame, text_col: str, model: Classifier, path: str, history: np.ndarray | None = None, max_rate: float = 1.0) -> DataFrame:
+    """``df`` with n_tokens and posteriors instead of its text; with ``history``, with rates instead."""
     rest = [f for f in df.schema.fields if f.name != text_col]
     shared = df.sparkSession.sparkContext.broadcast(model)
+    more = [T.StructField("n_tokens", T.LongType()), T.StructField("posteriors", T.ArrayType(T.DoubleType()))] if history is None else [T.StructField("rate", T.DoubleType())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = chunk_table(path, True)
         for batch in batches:
             texts = utf8_column(batch, text_col)
             p = shared.value.posteriors(texts)
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in rest]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([sum(v) for v in table.of(texts)], pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))], [*(f.name for f in rest), "n_tokens", "posteriors"])
+            if history is None:
+                tokens = [sum(v) for v in chunk_table(path, True).of(texts)]
+                found = [pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1], p.ravel())]
+            else:
+                found = [pa.array(rates(p, history, max_rate), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*columns, *found], [*(f.name for f in rest), *(f.name for f in more)])
 
-    return df.mapInArrow(run, T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("posteriors", T.ArrayType(T.DoubleType()))]))
+    return df.mapInArrow(run, T.StructType([*rest, *more]))
 
 
 def _rated(members: DataFrame, history: np.ndarray, max_rate: float) -> DataFrame:
@@ -194,14 +244,16 @@ def _rated(members: DataFrame, history: np.ndarray, max_rate: float) -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index
-            p = np.array(batch.column(at("posteriors")).to_pylist(), float).reshape(-1, k)
+            p = _matrix(batch.column(batch.schema.get_field_index("posteriors")), k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(p, history, max_rate), pa.float64())], [*batch.schema.names, "rate"])
 
-    found = members.mapInArrow(run, T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType())]))
-    # a number in [0, 1) of the id's hash decides between the two nearest counts, so the expected count is the rate
+    return members.mapInArrow(run, T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType())]))
+
+
+def _drawn(rated: DataFrame) -> DataFrame:
+    """With ``copies``: a number in [0, 1) of the id's hash decides between the two nearest counts, so the expected count is the rate."""
     draw = F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
-    return found.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+    return rated.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], path: str, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, max_rate: float = 4.0, sample: int = SAMPLE) -> DataFrame:
@@ -216,7 +268,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], path: s
     model = fit_classifier(labelled_sample(docs, labelled, domains, id_col, text_col, sample), domains)
     members = cut_lineage(_members(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", model, path))
     history, _ = solve(members, weights, domains, total, max_rate)
-    return _rated(members, history, max_rate).select(F.col("id").alias(id_col), "n_tokens", "posteriors", "rate", "copies")
+    return _drawn(_rated(members, history, max_rate)).select(F.col("id").alias(id_col), "n_tokens", "posteriors", "rate", "copies")
 
 
 def thin(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], path: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -226,5 +278,5 @@ def thin(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], path:
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     members = cut_lineage(_members(rows.select("id", "text"), "text", model, path))
     history, _ = solve(members, weights, domains, np.inf, 1.0)
-    judged = _rated(_members(rows, "text", model, path), history, 1.0)
+    judged = _drawn(_members(rows, "text", model, path, history, 1.0))
     return judged.where("copies > 0").select("row.*")

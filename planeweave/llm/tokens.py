@@ -16,7 +16,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +29,19 @@ from planeweave.llm.common import utf8_column
 FREQUENT = 16_384
 #: Longer chunks are encoded each time and kept in neither tier.
 LONGEST = 64
-#: Entries of a worker's table before its second tier is emptied.
-CACHE = 1_000_000
+#: Entries of a worker's table before the later half of its second tier goes.
+CACHE = 600_000
 #: Texts whose chunks are looked up together.
 TOGETHER = 256
 #: Chunks joined in one string for the library.
 JOINED = 50
-#: Chunks whose pre-tokens are known: letters of Latin-1, then a run of stops or none. Each pre-token ends in a token with a word end.
-PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+([.,;:!?]*)")
+#: Chunks whose pre-tokens are known: letters of Latin-1, then a run of marks or none. Each pre-token ends in a token with a word end.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+
+#: Bytes of texts that ``chunks_of`` may cut finer: ASCII letters, digits and white space, stops, and letters of two bytes from xC3.
+SIMPLE = bytes({*range(48, 58), *range(65, 91), *range(97, 123), *range(9, 14), 32, *b".,", 0xC3, *range(0x80, 0xC0)})
+
+LATIN = bytes({*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)})
 
 _loaded: dict[str, object] = {}
 _tables: dict[tuple, ChunkTable] = {}
@@ -52,6 +57,17 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+def chunks_of(text: bytes) -> list[bytes]:
+    """The chunks of a text: what white space parts, or finer where that gives the same tokens.
+
+    In a text of nothing but ``SIMPLE`` bytes, in which no two stops meet, every stop is a pre-token of its own, and letters
+    have no marks that could compose with them, so case may be folded first. That makes the chunks fewer.
+    """
+    if text.translate(None, SIMPLE) or b".." in text or b".," in text or b",." in text or b",," in text or b"\xc3\x97" in text or b"\xc3\xb7" in text:
+        return text.split()
+    return text.lower().replace(b",", b" , ").replace(b".", b" . ").split()
+
+
 class ChunkTable:
     """Chunk to its ids (little-endian, four bytes each) or, with ``counts``, to their number; two tiers, looked up as one."""
 
@@ -65,46 +81,66 @@ class ChunkTable:
     def of(self, texts: list[bytes]) -> Iterator[list]:
         """The values of each text's chunks in order. What is missing is encoded for many texts at once."""
         for i in range(0, len(texts), TOGETHER):
-            split = [t.split() for t in texts[i : i + TOGETHER]]
+            split = list(map(chunks_of, texts[i : i + TOGETHER]))
             if len(self.table) > self.limit:
-                self.table = dict(self.frequent)
-            fresh = self.encode(list(set(chain.from_iterable(split)).difference(self.table)))
-            self.table.update(fresh)
-            get = self.table.__getitem__
-            for chunks in split:
-                yield list(map(get, chunks))
-            for c in fresh:
-                if len(c) > LONGEST:
-                    del self.table[c]
+                # what was met first is what comes often: the later half goes
+                self.table = dict(islice(self.table.items(), self.limit // 2))
+            get = self.table.get
+            values = [list(map(get, chunks)) for chunks in split]
+            holes = [[k for k, v in enumerate(found) if v is None] for found in values]
+            fresh = self.encode(list({chunks[k] for chunks, missing in zip(split, holes, strict=True) for k in missing}))
+            for chunks, found, missing in zip(split, values, holes, strict=True):
+                for k in missing:
+                    found[k] = fresh[chunks[k]]
+                yield found
+            self.table.update(fresh if max(map(len, fresh), default=0) <= LONGEST else {c: v for c, v in fresh.items() if len(c) <= LONGEST})
 
     def encode(self, chunks: list[bytes]) -> dict:
-        """The values of ``chunks`` by the library: plain ones joined by spaces in one call, others each by itself."""
-        plain, stops, other = [], [], []
+        """The values of ``chunks``. A plain chunk's is that of its letters in lower case and that of its stops together."""
+        letters = [c for c in chunks if c.isalpha()]  # of bytes: ASCII letters only
+        stopped, other = [], []
         for c in chunks:
-            if m := PLAIN.fullmatch(c):
-                plain.append(c)
-                stops.append(2 if m[1] else 1)
-            else:
+            if not c.isalpha():
+                if c.isascii():
+                    m = PLAIN.fullmatch(c)
+                    if m is not None:
+                        stopped.append((c, m[1].lower(), m[2]))
+                        continue
+                elif not c.translate(None, LATIN) and (word := c.decode()).isalpha():
+                    stopped.append((c, word.lower().encode(), b""))
+                    continue
+                elif (m := PLAIN.fullmatch(c)) is not None:
+                    stopped.append((c, m[1].decode().lower().encode(), m[2]))
+                    continue
                 other.append(c)
-        found: dict = {}
-        if plain:
-            tok = tokenizer(self.path)
-            encoded = tok.encode_batch_fast([b" ".join(plain[i : i + JOINED]).decode() for i in range(0, len(plain), JOINED)], add_special_tokens=False)
-            ids = np.array([i for e in encoded for i in e.ids], "<u4")
-            ends, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(stops) - 1
-            if len(ends) == last[-1] + 1:
-                cuts = [0, *ends[last].tolist()]
-                if self.counts:
-                    found = dict(zip(plain, np.diff(cuts).tolist(), strict=True))
-                else:
-                    raw = ids.tobytes()
-                    found = {c: raw[4 * i : 4 * j] for c, i, j in zip(plain, cuts, cuts[1:], strict=False)}
-            else:  # a tokenizer of another kind
-                other = chunks
-        if other:
-            for c, e in zip(other, tokenizer(self.path).encode_batch_fast([c.decode() for c in other], add_special_tokens=False), strict=True):
-                found[c] = len(e.ids) if self.counts else np.array(e.ids, "<u4").tobytes()
-        return found
+        lower = list(map(bytes.lower, letters))
+        wanted = set(lower).union([w for _, w, _ in stopped], [x for _, _, x in stopped if x]).difference(self.table)
+        base = self._together(list(wanted)) if wanted else {}
+        if base is None:  # a tokenizer of another kind
+            return self._each(chunks)
+        base.update((w, self.table[w]) for w in lower if w not in base)
+        found = dict(zip(letters, map(base.__getitem__, lower), strict=True))
+        for c, word, stops in stopped:
+            value = base[word] if word in base else self.table[word]
+            found[c] = value + (base[stops] if stops in base else self.table[stops]) if stops else value
+        return found | self._each(other) if other else found
+
+    def _together(self, plain: list[bytes]) -> dict | None:
+        """The values of chunks that are one pre-token each, by calls for many; None if word ends don't tell them apart."""
+        encoded = tokenizer(self.path).encode_batch_fast([b" ".join(plain[i : i + JOINED]).decode() for i in range(0, len(plain), JOINED)], add_special_tokens=False)
+        ids = np.array(list(chain.from_iterable(e.ids for e in encoded)), "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(plain):
+            return None
+        cuts = [0, *ends.tolist()]
+        if self.counts:
+            return dict(zip(plain, np.diff(cuts).tolist(), strict=True))
+        raw = ids.tobytes()
+        return {c: raw[4 * i : 4 * j] for c, i, j in zip(plain, cuts, cuts[1:], strict=False)}
+
+    def _each(self, chunks: list[bytes]) -> dict:
+        encoded = tokenizer(self.path).encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        return {c: len(e.ids) if self.counts else np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, encoded, strict=True)}
 
 
 def chunk_table(path: str, counts: bool, frequent: dict | None = None) -> ChunkTable:
