@@ -149,7 +149,7 @@ def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col
     Repeated rows are packed each; an empty table gives no rows; further columns are left out.
     """
     out = pa.schema([(id_col if k == 0 else name, pa.int64()) for k, name in enumerate(("", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "padded_length"))])
-    end = np.array([end_id], "<u4").tobytes()
+    end, whole = np.array([end_id], "<u4").tobytes(), turns is None
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(path, False)
@@ -162,7 +162,7 @@ def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            if turns is None:
+            if whole:
                 for key, values in zip(keys, table.of(utf8_column(batch, text_col)), strict=True):
                     ids = b"".join(values) + end
                     packer.add(Example(key, ids, len(ids) // 4))
@@ -179,4 +179,4 @@ def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col
         packer.finish()
         yield given()
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col) if turns is None else turns.alias("turns")).mapInArrow(packed, PIECES.format(id=id_col))
+    return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col) if whole else turns.alias("turns")).mapInArrow(packed, PIECES.format(id=id_col))
