@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -76,10 +78,13 @@ class Novelty:
                     break
                 end = m.end() if m.end() < word.end() + REACH + 256 else re.compile(r"[A-Za-z0-9+/_.=-]*").match(text, m.start()).end()
                 found[m.start()] = max(end, found.get(m.start(), 0))
-        kept = []
+        kept: list[Span] = []
+        starts = [s for s, _, _ in taken]
+        reach = list(accumulate((e for _, _, e in taken), max))  # how far the spans up to each go
         for start, end in sorted(found.items()):
             body = text[start:end]
-            if not any(c.isdigit() for c in body) or any(s < end and start < e for s, _, e in taken) or (kept and start < kept[-1][2]):
+            before = bisect_left(starts, end)
+            if not any(c.isdigit() for c in body) or (before and reach[before - 1] > start) or (kept and start < kept[-1][2]):
                 continue
             grown = self.marginal(text, start, end)
             if grown >= LEAST and grown >= NOVELTY * (end - start):
