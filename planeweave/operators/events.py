@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planeweave.functions import parse
+from planeweave.operators import timeline
 
 
 def valid_events(df: DataFrame, time: str = "timestamp_s") -> DataFrame:
@@ -25,23 +26,16 @@ def summarize(df: DataFrame, by: Sequence[str], time: str = "timestamp_s") -> Da
     """Counts, non-finite and negative ones, span, and the median, least and largest interval of the sorted finite times."""
     t = F.col(time)
     real = t.isNotNull() & parse.is_finite(t.cast("double"))
-    rows = df.select(*by, F.when(real, t).alias("t"), real.alias("real"))
-    rows = rows.withColumn("d", F.when(F.col("real"), F.col("t") - F.lag("t").over(Window.partitionBy(*by, "real").orderBy("t"))))
-    return rows.groupBy(*by).agg(
+    rows = df.select(*by, F.when(real, t).alias("t"))
+    steps = timeline.sorted_intervals(rows, by, "t", "d").groupBy(*by).agg(F.median("d").alias("median_interval"), F.min("d").alias("min_interval"), F.max("d").alias("max_interval"))
+    counts = rows.groupBy(*by).agg(
         F.count("*").alias("n_events"),
-        F.count_if(~F.col("real")).alias("n_nonfinite"),
+        F.count_if(F.col("t").isNull()).alias("n_nonfinite"),
         F.count_if(F.col("t") < 0).alias("n_negative"),
         F.min("t").alias("first_time"),
         F.max("t").alias("last_time"),
-        F.median("d").alias("median_interval"),
-        F.min("d").alias("min_interval"),
-        F.max("d").alias("max_interval"),
     )
-
-
-def running_count(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
-    """1, 2, ... over the sorted times of each group."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return counts.join(steps, list(by), "left")
 
 
 def histogram(df: DataFrame, value: Column, low: Column, high: Column, bins: int, name: str = "bin") -> DataFrame:

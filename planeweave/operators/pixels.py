@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from planeweave.functions import parse
 
+#: Parts in which the images of a group's tasks are summed before the last step.
+FAN = 32
 METHODS = {"mean": F.avg, "max": F.max, "std": F.stddev_pop}
 
 
@@ -57,22 +59,20 @@ def project_images(df: DataFrame, by: Sequence[str], pixels: str, methods: Seque
             yield _images(groups, keys, batch.schema)
 
     def merged(key: tuple, table: pa.Table) -> pa.Table:
-        n, mean, square, most = 0, None, None, None
-        for row in table.select(["n", "mean", "square", "most"]).to_batches():
-            for k, m, s, x in zip(row.column(0).to_pylist(), *(row.column(c) for c in (1, 2, 3)), strict=True):
-                m, s, x = (v.values.to_numpy(zero_copy_only=False) for v in (m, s, x))
-                if mean is None:
-                    n, mean, square, most = k, m.copy(), s.copy(), x.copy()
-                else:
-                    delta, total = m - mean, n + k
-                    mean += delta * k / total
-                    square += s + delta * delta * n * k / total
-                    n, most = total, np.maximum(most, x)
+        n, mean, square, most = _sum_of(table)
         out = {"mean": mean, "max": most, "std": np.sqrt(square / n)}
         return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip(by, key, strict=True)}, **{m: pa.array([out[m]], pa.list_(pa.float64())) for m in methods}})
 
+    def joined(key: tuple, table: pa.Table) -> pa.Table:
+        """The sums of some tasks, so that the last step has at most ``FAN`` images a group."""
+        n, mean, square, most = _sum_of(table)
+        images = {"n": pa.array([n], pa.int64()), **{c: pa.array([v], pa.list_(pa.float64())) for c, v in (("mean", mean), ("square", square), ("most", most))}}
+        return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip([*keys, "_part"], key, strict=True)}, **images})
+
     rows = df.select(*keys, F.col(pixels).cast("array<double>").alias("_p"))
-    sums = rows.mapInArrow(partial, f"{kinds + ', ' if kinds else ''}n bigint, mean array<double>, square array<double>, most array<double>")
+    images = "n bigint, mean array<double>, square array<double>, most array<double>"
+    sums = rows.mapInArrow(partial, f"{kinds + ', ' if kinds else ''}{images}").withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(FAN)))
+    sums = sums.groupBy(*keys, "_part").applyInArrow(joined, f"{kinds + ', ' if kinds else ''}_part int, {images}").drop("_part")
     if average:
         # the means of the repeats are the pages that are projected
         one = sums.groupBy(*keys).applyInArrow(lambda k, t: _mean_of(k, t, keys), f"{kinds}, _p array<double>")
@@ -81,6 +81,22 @@ def project_images(df: DataFrame, by: Sequence[str], pixels: str, methods: Seque
     return sums.groupBy(*by).applyInArrow(merged, result)
 
 
+def _sum_of(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Count, mean, squares around it, and maxima of the rows' pixels, merged row by row."""
+    n, mean, square, most = 0, None, None, None
+    for batch in table.select(["n", "mean", "square", "most"]).to_batches():
+        for k, m, s, x in zip(batch.column(0).to_pylist(), *(batch.column(c) for c in (1, 2, 3)), strict=True):
+            m, s, x = (v.values.to_numpy(zero_copy_only=False) for v in (m, s, x))
+            if mean is None:
+                n, mean, square, most = k, m.copy(), s.copy(), x.copy()
+            else:
+                delta, total = m - mean, n + k
+                mean += delta * k / total
+                square += s + delta * delta * n * k / total
+                n, most = total, np.maximum(most, x)
+    return n, mean, square, most
+
+
 def _images(groups: dict[tuple, list], keys: Sequence[str], schema: pa.Schema) -> pa.RecordBatch:
     columns = [pa.array([k[i] for k in groups], schema.field(i).type) for i in range(len(keys))]
     columns += [pa.array([g[0] for g in groups.values()], pa.int64()), *(pa.array([g[c] for g in groups.values()], pa.list_(pa.float64())) for c in (1, 2, 3))]

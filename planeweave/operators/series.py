@@ -39,4 +39,4 @@ def raster_or_rate(aux: DataFrame, line: int, low: float, high: float) -> tuple[
 
 def cumulative(aux: DataFrame) -> DataFrame:
     """aux_line, timestamp_s, n: the count of events up to each."""
-    return events.running_count(events.valid_events(aux), ["aux_line"], ["timestamp_s", "page_index", "event_pos"]).select("aux_line", "timestamp_s", "n")
+    return timeline.running_count(events.valid_events(aux), ["aux_line"], ["timestamp_s", "page_index", "event_pos"]).select("aux_line", "timestamp_s", "n")

@@ -61,3 +61,35 @@ def bridged_intervals(df: DataFrame, key: str, time: str, name: str = "interval"
     inside = rows.withColumns({"_lag": F.lag(time).over(w), "_n": F.row_number().over(w)})
     at = F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_lag"))
     return inside.join(before, "_b").withColumn(name, F.col(time) - at).select(key, name)
+
+
+def blocked(df: DataFrame, by: Sequence[str], key: str, size: int = BUCKET) -> DataFrame:
+    """``df`` with ``_b``: blocks of the key's range, of about ``size`` rows each where rows are spread evenly.
+
+    Windows on blocks, joined at their ends, replace one window on a whole group, however large that is. Equal keys
+    share a block.
+    """
+    k = F.col(key).cast("double")
+    known = df.where(F.col(key).isNotNull()).groupBy(*by).agg(F.min(k).alias("_lo"), F.max(k).alias("_hi"), F.count("*").alias("_n"))
+    width = F.greatest((F.col("_hi") - F.col("_lo")) * size / F.col("_n"), F.lit(1e-9))
+    return df.join(known, list(by)).withColumn("_b", F.floor((k - F.col("_lo")) / width).cast("bigint")).drop("_lo", "_hi", "_n")
+
+
+def sorted_intervals(df: DataFrame, by: Sequence[str], time: str, name: str = "interval", size: int = BUCKET) -> DataFrame:
+    """``df`` with the step from the time before, in time order, by groups of any size; the first of a group has none."""
+    rows = blocked(df.where(F.col(time).isNotNull()), by, time, size)
+    ends = rows.groupBy(*by, "_b").agg(F.max(time).alias("_last"))
+    before = ends.select(*by, "_b", F.lag("_last").over(Window.partitionBy(*by).orderBy("_b")).alias("_before"))
+    w = Window.partitionBy(*by, "_b").orderBy(time)
+    inside = rows.withColumn("_lag", F.lag(time).over(w))
+    return inside.join(before, [*by, "_b"]).withColumn(name, F.col(time) - F.coalesce("_lag", "_before")).drop("_lag", "_before", "_b")
+
+
+def running_count(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "n", size: int = BUCKET) -> DataFrame:
+    """1, 2, ... in order (whose first column is a number), by groups of any size."""
+    rows = blocked(df, by, order[0], size)
+    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*by, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
+    return rows.withColumn("_place", place).join(before, [*by, "_b"]).withColumn(name, (F.col("_place") + F.col("_before")).cast("bigint")).drop("_place", "_before", "_b")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planeweave.functions import parse
@@ -204,7 +204,8 @@ def complete_volumes(spark, d):
 
 @query("SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events")
 def cumulative_events(spark, d):
-    return events.running_count(table(spark, d, "events").select("event_type", "event_id", "ts"), ["event_type"], ["ts", "event_id"]).select("event_type", "event_id", long("n").alias("n"))
+    rows = clock(spark, d, "event_type").withColumnRenamed("page_index", "event_id")
+    return timeline.running_count(rows, ["event_type"], ["ts_us", "event_id"]).select("event_type", "event_id", "n")
 
 
 @query("""
@@ -316,7 +317,8 @@ def filename_parse(spark, d):
 @query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part")
 def natural_sort(spark, d):
     rows = table(spark, d, "part").select("p_partkey", "p_brand", parse.natural_key(F.concat(F.lit("File"), "p_partkey", F.lit("_a"))).alias("key"))
-    return events.running_count(rows, ["p_brand"], ["key"], "place").select("p_partkey", long("place").alias("place"))
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("key"))
+    return rows.select("p_partkey", long(place).alias("place"))
 
 
 @query("""
