@@ -29,6 +29,8 @@ SAMPLE, SHARD = 16_384, 4096
 MOST_LISTS = 4096
 REPLICAS, BOUNDARY, DEGREE, BEAM = 4, 0.08, 16, 24
 AIM, TRIALS = 0.97, 256
+#: A query reads so many lists at least; all, if there are not so many times the vectors that a result can show.
+LEAST_LISTS, READ_ALL = 4, 20
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -82,7 +84,7 @@ class Graph:
         rows = np.arange(n)
         found[:, self.entries] = squared(x, self.centroids[self.entries])
         while True:
-            bound = (1 + ratio) ** 2 * found.min(axis=1)
+            bound = (1 + ratio) ** 2 * np.maximum(found.min(axis=1), 1e-300)
             if beam < k:
                 bound = np.maximum(bound, np.partition(found, beam - 1, axis=1)[:, beam - 1])
             q, c = np.nonzero((found <= bound[:, None]) & ~done & np.isfinite(found))
@@ -171,7 +173,8 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     plain = np.array([r.v for r in entries.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()], float)
     n_lists = max(1, min(MOST_LISTS, len(plain) // 4, round(n**0.5)))
     graph = Graph.build(bisect(longer(plain, most), n_lists, rng), rng)
-    ratio = fit_ratio(graph, plain, most, k, rng)
+    # few vectors are all read, so that every query finds as many as there are
+    ratio = fit_ratio(graph, plain, most, k, rng) if n > READ_ALL * show else np.inf
     shared = spark.sparkContext.broadcast(graph)
 
     def dealt(batches: Iterable[pa.RecordBatch], query: bool) -> Iterator[pa.RecordBatch]:
@@ -181,7 +184,8 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
                 x = _matrix(part.column(1), size)
                 if query:
                     d = shared.value.search(np.concatenate([x, np.zeros((len(x), 1))], axis=1), ratio)
-                    lists = [np.flatnonzero(row <= (1 + ratio) ** 2 * row.min()) for row in d]
+                    near = np.argsort(d, axis=1, kind="stable")[:, :LEAST_LISTS]
+                    lists = [np.union1d(np.flatnonzero(np.isfinite(row) & (row <= (1 + ratio) ** 2 * row.min())), first[np.isfinite(row[first])]) for row, first in zip(d, near, strict=True)]
                 else:
                     lists = shared.value.lists_of(longer(x, most))
                 at = np.repeat(np.arange(len(x)), [len(u) for u in lists])

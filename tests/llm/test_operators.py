@@ -397,6 +397,15 @@ def test_neighbours_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_few_neighbours_are_all_found(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(61)], "vec_id long, embedding array<double>")
+    n = {}
+    for r in neighbours.search(df, k=100).collect():
+        n.setdefault(r.query_id, set()).add(r.vec_id)
+    assert n == {q: set(range(61)) - {q} for q in (0, 20, 40, 60)}
+
+
 def test_neighbours_on_odd_rows(spark):
     same = [(i, [1.0, 0.0, 0.5]) for i in range(60)]
     odd = [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 0.0]), (103, [float("nan"), 1.0, 0.0]), (104, [float("inf"), 1.0, 0.0]), (105, [1.0]), (None, [1.0, 1.0, 1.0]), (120, [0.5, 0.5, 0.0]), (120, [0.5, 0.5, 0.0])]
