@@ -171,7 +171,7 @@ def run(spark: SparkSession, args: argparse.Namespace, say, planes: list[int] |
             from planeweave.operators import pixels
             from planeweave.sources import tiff
 
-            mean = np.array(pixels.project_images(rec.pixels(), ["height"], "pixels", ["mean"]).first().mean).reshape(h, w)
+            mean = np.array(pixels.project_images(rec.pixels(), ["height"], "pixels", ["mean"], wide=True).first().mean).reshape(h, w)
             target.parent.mkdir(parents=True, exist_ok=True)
             with tiff.Writer(str(target)) as f:
                 f.add(export.draw_scale_bar(mean, um, args.length_um))

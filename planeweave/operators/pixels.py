@@ -32,82 +32,99 @@ def exploded(df: DataFrame, keys: Sequence[str], pixels: str) -> DataFrame:
     return df.select(*keys, F.posexplode(pixels).alias("pos", "value"))
 
 
-def project_images(df: DataFrame, by: Sequence[str], pixels: str, methods: Sequence[str], average: str | None = None) -> DataFrame:
+class Sums:
+    """Count, mean, squares around the mean and maxima of images; what no method needs is left empty."""
+
+    def __init__(self, methods: Sequence[str]):
+        self.squares, self.maxima = "std" in methods, "max" in methods
+        self.n, self.mean, self.square, self.most = 0, None, np.zeros(0), np.zeros(0)
+
+    def add(self, n: int, mean: np.ndarray, square: np.ndarray, most: np.ndarray) -> None:
+        """The sums of ``n`` more images, by Chan's update."""
+        if self.mean is None:
+            self.mean = np.array(mean, np.float64)
+            self.square = np.array(square, np.float64) if self.squares else self.square
+            self.most = np.array(most, np.float64) if self.maxima else self.most
+        else:
+            delta, total = mean - self.mean, self.n + n
+            self.mean += delta * (n / total)
+            if self.squares:
+                self.square += square + delta * delta * (self.n * n / total)
+            if self.maxima:
+                np.maximum(self.most, most, out=self.most)
+        self.n += n
+
+    def image(self, image: np.ndarray) -> None:
+        self.add(1, image, np.zeros_like(image) if self.squares else self.square, image)
+
+    def result(self, method: str) -> np.ndarray:
+        return self.mean if method == "mean" else self.most if method == "max" else np.sqrt(self.square / self.n)
+
+
+IMAGES = "n bigint, mean array<double>, square array<double>, most array<double>"
+
+
+def project_images(df: DataFrame, by: Sequence[str], pixels: str, methods: Sequence[str], average: str | None = None, wide: bool = False) -> DataFrame:
     """A row a group with an array for each method; for images of any size.
 
-    Arrow batches of pages are summed in each task, by group, before the shuffle: a task sends sums, squares and maxima once a
-    group, not a row a pixel. The mean of repeats, where asked for, is of the pages with the same ``average`` value.
+    The images of a task are summed by group before the shuffle, and a group's sums are merged as they come, sorted, so a task
+    holds one group at a time. With ``wide``, for groups that lie in many tasks, ``FAN`` parts of a group are merged
+    first. With ``average``, the pages that share its value are averaged first, in single precision, as repeats of a plane.
     """
     keys = [*by, *([average] if average else [])]
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+    needed = ["mean"] if average else list(methods)
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*keys).schema.fields)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups: dict[tuple, list] = {}
-            for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True)):
-                image = batch.column(len(keys))[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if key in groups:
-                    g = groups[key]
-                    # Chan's update keeps the squares around the mean
-                    g[0] += 1
-                    delta = image - g[1]
-                    g[1] += delta / g[0]
-                    g[2] += delta * (image - g[1])
-                    np.maximum(g[3], image, out=g[3])
-                else:
-                    groups[key] = [1, image.copy(), np.zeros_like(image), image.copy()]
-            yield _images(groups, keys, batch.schema)
-
-    def merged(key: tuple, table: pa.Table) -> pa.Table:
-        n, mean, square, most = _sum_of(table)
-        out = {"mean": mean, "max": most, "std": np.sqrt(square / n)}
-        return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip(by, key, strict=True)}, **{m: pa.array([out[m]], pa.list_(pa.float64())) for m in methods}})
-
-    def joined(key: tuple, table: pa.Table) -> pa.Table:
-        """The sums of some tasks, so that the last step has at most ``FAN`` images a group."""
-        n, mean, square, most = _sum_of(table)
-        images = {"n": pa.array([n], pa.int64()), **{c: pa.array([v], pa.list_(pa.float64())) for c, v in (("mean", mean), ("square", square), ("most", most))}}
-        return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip([*keys, "_part"], key, strict=True)}, **images})
-
-    rows = df.select(*keys, F.col(pixels).cast("array<double>").alias("_p"))
-    images = "n bigint, mean array<double>, square array<double>, most array<double>"
-    sums = rows.mapInArrow(partial, f"{kinds + ', ' if kinds else ''}{images}").withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(FAN)))
-    sums = sums.groupBy(*keys, "_part").applyInArrow(joined, f"{kinds + ', ' if kinds else ''}_part int, {images}").drop("_part")
+            groups: dict[tuple, Sums] = {}
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True)) if keys else [()] * batch.num_rows
+            for i, key in enumerate(names):
+                image = batch.column(len(keys))[i].values.to_numpy(zero_copy_only=False)
+                groups.setdefault(key, Sums(needed)).image(image)
+            yield _rows(list(groups.items()), keys, batch.schema)
+
+    def merge(batches: Iterator[pa.RecordBatch], names: list[str], tell) -> Iterator[pa.RecordBatch]:
+        """Sorted sums become one row a group."""
+        last, sums = None, None
+        for batch in batches:
+            done = []
+            found = list(zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True)) if names else [()] * batch.num_rows
+            n, rest = batch.column(len(names)).to_pylist(), [batch.column(len(names) + k) for k in (1, 2, 3)]
+            for i, key in enumerate(found):
+                if key != last or sums is None:
+                    if sums is not None:
+                        done.append((last, sums))
+                    last, sums = key, Sums(needed)
+                sums.add(n[i], *(c[i].values.to_numpy(zero_copy_only=False) for c in rest))
+            if done:
+                yield tell(done, batch.schema)
+            schema = batch.schema
+        if sums is not None:
+            yield tell([(last, sums)], schema)
+
+    def dealt(rows: DataFrame, names: list[str]) -> DataFrame:
+        return rows.repartition(*names).sortWithinPartitions(*names) if names else rows.repartition(1)
+
+    sums = df.select(*keys, F.col(pixels).cast("array<double>").alias("_p")).mapInArrow(partial, f"{kinds}{IMAGES}")
+    if wide:
+        part = [*keys, "_part"]
+        sums = sums.select(*keys, F.pmod(F.spark_partition_id(), F.lit(FAN)).alias("_part"), "n", "mean", "square", "most")
+        sums = dealt(sums, part).mapInArrow(lambda it: merge(it, part, lambda done, schema: _rows(done, part, schema)), f"{kinds}_part int, {IMAGES}").drop("_part")
     if average:
-        # the means of the repeats are the pages that are projected
-        one = sums.groupBy(*keys).applyInArrow(lambda k, t: _mean_of(k, t, keys), f"{kinds}, _p array<double>")
-        return project_images(one, by, "_p", methods)
-    result = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema.fields), *(f"{m} array<double>" for m in methods)])
-    return sums.groupBy(*by).applyInArrow(merged, result)
-
-
-def _sum_of(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Count, mean, squares around it, and maxima of the rows' pixels, merged row by row."""
-    n, mean, square, most = 0, None, None, None
-    for batch in table.select(["n", "mean", "square", "most"]).to_batches():
-        for k, m, s, x in zip(batch.column(0).to_pylist(), *(batch.column(c) for c in (1, 2, 3)), strict=True):
-            m, s, x = (v.values.to_numpy(zero_copy_only=False) for v in (m, s, x))
-            if mean is None:
-                n, mean, square, most = k, m.copy(), s.copy(), x.copy()
-            else:
-                delta, total = m - mean, n + k
-                mean += delta * k / total
-                square += s + delta * delta * n * k / total
-                n, most = total, np.maximum(most, x)
-    return n, mean, square, most
-
-
-def _images(groups: dict[tuple, list], keys: Sequence[str], schema: pa.Schema) -> pa.RecordBatch:
-    columns = [pa.array([k[i] for k in groups], schema.field(i).type) for i in range(len(keys))]
-    columns += [pa.array([g[0] for g in groups.values()], pa.int64()), *(pa.array([g[c] for g in groups.values()], pa.list_(pa.float64())) for c in (1, 2, 3))]
-    return pa.RecordBatch.from_arrays(columns, [*keys, "n", "mean", "square", "most"])
-
-
-def _mean_of(key: tuple, table: pa.Table, keys: Sequence[str]) -> pa.Table:
-    n = np.array(table["n"].to_pylist(), float)
-    images = np.stack([v.values.to_numpy(zero_copy_only=False) for v in table["mean"]])
-    mean = ((images * n[:, None]).sum(axis=0) / n.sum()).astype(np.float32).astype(np.float64)
-    return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)}, "_p": pa.array([mean], pa.list_(pa.float64()))})
+        single = lambda done, schema: pa.RecordBatch.from_arrays([*_keys(done, keys, schema), pa.array([s.mean.astype(np.float32).astype(np.float64) for _, s in done], pa.list_(pa.float64()))], [*keys, "_p"])
+        return project_images(dealt(sums, keys).mapInArrow(lambda it: merge(it, keys, single), f"{kinds}_p array<double>"), by, "_p", methods)
+    told = lambda done, schema: pa.RecordBatch.from_arrays([*_keys(done, keys, schema), *(pa.array([s.result(m) for _, s in done], pa.list_(pa.float64())) for m in methods)], [*keys, *methods])
+    return dealt(sums, keys).mapInArrow(lambda it: merge(it, keys, told), kinds + ", ".join(f"{m} array<double>" for m in methods))
+
+
+def _keys(done: list[tuple[tuple, Sums]], names: Sequence[str], schema: pa.Schema) -> list[pa.Array]:
+    return [pa.array([k[i] for k, _ in done], schema.field(i).type) for i in range(len(names))]
+
+
+def _rows(done: list[tuple[tuple, Sums]], names: Sequence[str], schema: pa.Schema) -> pa.RecordBatch:
+    images = [pa.array([getattr(s, c) for _, s in done], pa.list_(pa.float64())) for c in ("mean", "square", "most")]
+    return pa.RecordBatch.from_arrays([*_keys(done, names, schema), pa.array([s.n for _, s in done], pa.int64()), *images], [*names, "n", "mean", "square", "most"])
 
 
 def band(height: int, share: float) -> tuple[int, int]:

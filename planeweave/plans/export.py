@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,7 +173,7 @@ def project_recording(rec: Recording, out: str | Path | None = None, methods: Se
         pages = rec.pixels(every=g.pages_per_volume, within=within, page_stop=n * g.pages_per_volume)
         place = layout.page_map(F.col("page_index"), g.n_channels, g.kept_frames, g.frames_per_slice, g.on_disk_frames)
         rows = pages.select(place["volume_index"].alias("volume"), place["slice_index"].alias("plane"), "pixels")
-        found = pixels.project_images(rows, ["volume"], "pixels", methods, average="plane" if repeats == "average" else None).orderBy("volume")
+        found = pixels.project_images(rows, ["volume"], "pixels", methods, average="plane" if repeats == "average" else None)
         kinds = {m: dtype if dtype != "auto" else "float32" if m == "std" else str(rec.infos[0]["dtype"]) for m in methods}
         big = {m: tiff.needs_big(n, h * w * np.dtype(kinds[m]).itemsize) for m in methods}
         writers = {m: tiff.Writer(str(targets[m, c]), big[m]) for m in methods}
@@ -184,15 +185,11 @@ def project_recording(rec: Recording, out: str | Path | None = None, methods: Se
             lines["SI.hRoiManager.scanFrameRate"] = format(g.volume_rate_hz, ".10g")
         software = overridden_text(str(rec.infos[0]["software"]), lines)
         written = 0
-        for row in found.toLocalIterator(prefetchPartitions=True):
+        # pages go to the writer in the order of their volumes, as bytes of the type that is written
+        for row in as_bytes(found, {m: kinds[m] for m in methods}).orderBy("volume").toLocalIterator(prefetchPartitions=True):
             for m in methods:
-                image = np.array(row[m]).reshape(h, w)
-                kind = np.dtype(kinds[m])
-                if kind.kind in "iu":
-                    limits = np.iinfo(kind)
-                    image = np.clip(np.rint(image.astype(np.float32) if m != "max" else image), limits.min, limits.max)
                 told = {"tool": TOOL, "created": now(), "projection": {"method": m, "planes": planes, "channel": c, "repeats": repeats, "n_reduced_frames": n_reduced, "n_volumes": n, "dtype": kinds[m], "zs": zs, "skipped_volumes": total - n}, "source": {"files": rec.paths, "recording": rec.name}}
-                writers[m].add(image.astype(kind), json.dumps(jsonable(told)) if not written else "", software)
+                writers[m].add(np.frombuffer(row[m], kinds[m]).reshape(h, w), json.dumps(jsonable(told)) if not written else "", software)
             written += 1
         for m in methods:
             writers[m].close()
@@ -200,6 +197,23 @@ def project_recording(rec: Recording, out: str | Path | None = None, methods: Se
     return results
 
 
+def as_bytes(found: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Projections (volume and an array for each method) with each image as the bytes of its type, half-even and clipped for integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = []
+            for name, kind in kinds.items():
+                images = [x.values.to_numpy(zero_copy_only=False) for x in batch.column(batch.schema.get_field_index(name))]
+                if np.dtype(kind).kind in "iu":
+                    limits = np.iinfo(kind)
+                    images = [np.clip(np.rint(x.astype(np.float32) if name != "max" else x), limits.min, limits.max) for x in images]
+                columns.append(pa.array([x.astype(kind).tobytes() for x in images], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["volume", *kinds])
+
+    return found.select("volume", *kinds).mapInArrow(run, "volume bigint, " + ", ".join(f"{m} binary" for m in kinds))
+
+
 def overridden_text(text: str, values: dict[str, str]) -> str:
     """``key = value`` lines with new values for the keys that are there."""
     out = []
@@ -225,7 +239,7 @@ def calibrate_grid(spark: SparkSession, inputs: Sequence[str], pitch_um: float =
     paths = tiff.resolve(list(inputs))
     named = [p for p in paths if re_grid(p)]
     pages = tiff.read_pages(spark, named, pixels=True)
-    mean = pixels.project_images(pages, ["file", "height", "width"], "pixels", ["mean"])
+    mean = pixels.project_images(pages, ["file", "height", "width"], "pixels", ["mean"], wide=True)
     heads = spark.createDataFrame([(p, headers.as_float(headers.get(headers.parse(str(tiff.file_info(p)["software"])), "hRoiManager.scanZoomFactor"))) for p in named], "file string, header_zoom double")
     rows = mean.withColumn("g", parse.grid_filename(F.col("file"))).select("file", "height", "width", "mean", F.col("g.axis").alias("axis"), F.col("g.zoom").alias("name_zoom")).join(heads, "file")
     rows = rows.withColumn("z", calibrate.resolve_zoom(F.col("header_zoom"), F.col("name_zoom")))

@@ -194,7 +194,7 @@ class PageReader(DataSourceReader):
         paths = json.loads(o["paths"]) if "paths" in o else resolve(o["path"])
         start, stop = int(o.get("page_start", 0)), int(o.get("page_stop", -1))
         every, within = int(o.get("every", 0)), set(json.loads(o.get("within", "[]")))
-        size = int(o.get("block", 64 if self.with_pixels else 4096))
+        size = int(o.get("block", 64 if self.with_pixels else 1024))
         with ThreadPoolExecutor(16) as pool:
             infos = list(pool.map(file_info, paths))
         blocks, offset = [], 0
