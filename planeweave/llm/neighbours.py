@@ -29,6 +29,8 @@ SAMPLE, SHARD = 16_384, 4096
 MOST_LISTS = 4096
 REPLICAS, BOUNDARY, DEGREE, BEAM = 4, 0.08, 16, 24
 AIM, TRIALS = 0.97, 256
+#: Distances computed at once.
+PAIRS = 16_384
 #: A query reads so many lists at least; all, if there are not so many times the vectors that a result can show.
 LEAST_LISTS, READ_ALL = 4, 20
 
@@ -81,7 +83,6 @@ class Graph:
         and those within 1 + ``ratio`` of the least distance."""
         n, k = len(x), len(self.centroids)
         found, done = np.full((n, k), np.inf), np.zeros((n, k), bool)
-        rows = np.arange(n)
         found[:, self.entries] = squared(x, self.centroids[self.entries])
         while True:
             bound = (1 + ratio) ** 2 * np.maximum(found.min(axis=1), 1e-300)
@@ -94,9 +95,10 @@ class Graph:
             to = np.zeros((n, k), bool)
             to[np.repeat(q, self.edges.shape[1]), self.edges[c].ravel()] = True
             q, c = np.nonzero(to & ~np.isfinite(found))
-            if len(q):
-                off = x[rows[q]] - self.centroids[c]
-                found[q, c] = np.einsum("ij,ij->i", off, off)
+            for i in range(0, len(q), PAIRS):
+                a, b = q[i : i + PAIRS], c[i : i + PAIRS]
+                off = x[a] - self.centroids[b]
+                found[a, b] = np.einsum("ij,ij->i", off, off)
 
     def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists that each vector is put in."""
@@ -132,7 +134,9 @@ def fit_ratio(graph: Graph, plain: np.ndarray, most: float, k: int, rng: np.rand
     query = np.concatenate([plain[trial], np.zeros((len(trial), 1))], axis=1)
     far = np.sqrt(squared(query, graph.centroids))
     far /= far.min(axis=1, keepdims=True)
-    lists = dict(zip(u := np.unique(best), graph.lists_of(longer(plain[u], most)), strict=True))
+    lists = {}
+    for part in np.array_split(u := np.unique(best), len(u) // 256 + 1):
+        lists |= dict(zip(part, graph.lists_of(longer(plain[part], most)), strict=True))
     need = np.sort([far[i, lists[b]].min() for i, row in enumerate(best) for b in row])
     return float(need[min(len(need) - 1, int(np.ceil(AIM * len(need))))] - 1) + 1e-9
 
@@ -170,7 +174,8 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
         return spark.createDataFrame([], result)
 
     rng = np.random.default_rng(7)
-    plain = np.array([r.v for r in entries.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()], float)
+    # at most SAMPLE vectors
+    plain = _matrix(entries.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow().column(0), size)
     n_lists = max(1, min(MOST_LISTS, len(plain) // 4, round(n**0.5)))
     graph = Graph.build(bisect(longer(plain, most), n_lists, rng), rng)
     # few vectors are all read, so that every query finds as many as there are
