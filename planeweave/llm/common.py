@@ -28,3 +28,10 @@ def utf8_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The UTF-8 bytes of a string column; a null is an empty text."""
     column = batch.column(batch.schema.get_field_index(name))
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores at its end as many as make it none of ``df``'s columns."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

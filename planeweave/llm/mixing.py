@@ -21,11 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planeweave.llm.common import cut_lineage, utf8_column
+from planeweave.llm.common import cut_lineage, free_name, utf8_column
 from planeweave.llm.tokens import chunk_table
 
 #: Labelled documents that the classifier is fit on, at most.
@@ -218,25 +218,33 @@ def solve(members: DataFrame, weights: dict[str, float], domains: list[str], tot
     return history, {"domains": domains, "target": target.tolist(), "available": have.tolist(), "reached": reached.tolist(), "steps": len(history)}
 
 
-def _members(df: DataFrame, text_col: str, model: Classifier, path: str, history: np.ndarray | None = None, max_rate: float = 1.0) -> DataFrame:
-    """``df`` with n_tokens and posteriors instead of its text; with ``history``, with rates instead."""
+def _members(df: DataFrame, text_col: str, model: Classifier, path: str) -> DataFrame:
+    """``df`` with n_tokens and posteriors instead of its text."""
     rest = [f for f in df.schema.fields if f.name != text_col]
     shared = df.sparkSession.sparkContext.broadcast(model)
-    more = [T.StructField("n_tokens", T.LongType()), T.StructField("posteriors", T.ArrayType(T.DoubleType()))] if history is None else [T.StructField("rate", T.DoubleType())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8_column(batch, text_col)
             p = shared.value.posteriors(texts)
+            tokens = [sum(v) for v in chunk_table(path, True).of(texts)]
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in rest]
-            if history is None:
-                tokens = [sum(v) for v in chunk_table(path, True).of(texts)]
-                found = [pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1], p.ravel())]
-            else:
-                found = [pa.array(rates(p, history, max_rate), pa.float64())]
-            yield pa.RecordBatch.from_arrays([*columns, *found], [*(f.name for f in rest), *(f.name for f in more)])
+            found = [pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1], p.ravel())]
+            yield pa.RecordBatch.from_arrays([*columns, *found], [*(f.name for f in rest), "n_tokens", "posteriors"])
 
-    return df.mapInArrow(run, T.StructType([*rest, *more]))
+    return df.mapInArrow(run, T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("posteriors", T.ArrayType(T.DoubleType()))]))
+
+
+def _with_rate(df: DataFrame, text_col: str, model: Classifier, history: np.ndarray, max_rate: float, name: str) -> DataFrame:
+    """``df`` with its rates in ``name``."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = rates(shared.value.posteriors(utf8_column(batch, text_col)), history, max_rate)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w, pa.float64())], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def _rated(members: DataFrame, history: np.ndarray, max_rate: float) -> DataFrame:
@@ -250,10 +258,10 @@ def _rated(members: DataFrame, history: np.ndarray, max_rate: float) -> DataFram
     return members.mapInArrow(run, T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType())]))
 
 
-def _drawn(rated: DataFrame) -> DataFrame:
-    """With ``copies``: a number in [0, 1) of the id's hash decides between the two nearest counts, so the expected count is the rate."""
-    draw = F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
-    return rated.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+def _copies(rate: str, key: str) -> Column:
+    """A number in [0, 1) of the id's hash decides between the two nearest counts, so the expected count is the rate."""
+    draw = F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
+    return F.floor(F.col(rate) + draw).cast("int")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], path: str, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, max_rate: float = 4.0, sample: int = SAMPLE) -> DataFrame:
@@ -268,15 +276,14 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], path: s
     model = fit_classifier(labelled_sample(docs, labelled, domains, id_col, text_col, sample), domains)
     members = cut_lineage(_members(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", model, path))
     history, _ = solve(members, weights, domains, total, max_rate)
-    return _drawn(_rated(members, history, max_rate)).select(F.col("id").alias(id_col), "n_tokens", "posteriors", "rate", "copies")
+    return _rated(members, history, max_rate).select(F.col("id").alias(id_col), "n_tokens", "posteriors", "rate", _copies("rate", "id").alias("copies"))
 
 
 def thin(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], path: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, with their columns, that a mix without repeats (rates up to one) draws."""
     domains = sorted(weights)
     model = fit_classifier(labelled_sample(docs, labelled, domains, id_col, text_col, sample), domains)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    members = cut_lineage(_members(rows.select("id", "text"), "text", model, path))
-    history, _ = solve(members, weights, domains, np.inf, 1.0)
-    judged = _drawn(_members(rows, "text", model, path, history, 1.0))
-    return judged.where("copies > 0").select("row.*")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    history, _ = solve(cut_lineage(_members(rows, "text", model, path)), weights, domains, np.inf, 1.0)
+    rate = free_name(docs, "_rate")
+    return _with_rate(docs, text_col, model, history, 1.0, rate).where(_copies(rate, id_col) > 0).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from planeweave.llm.common import cut_lineage
+from planeweave.llm.common import cut_lineage, free_name
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
@@ -36,6 +37,8 @@ FLOORS = (0.10, 0.03, 0.01, 0.08, 0.08, 0.03)
 #: Steps of the grid in a unit.
 GRID = 1 << 14
 SHARE, STEPS, MIN_ROWS, CUTOFF = 0.75, 5, 200, 0.9999
+#: Groups, of about half a kilobyte each, that are sent to all tasks at most.
+MOST_BROADCAST = 20_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_echoes")
 
 
@@ -71,17 +74,16 @@ def statistics_of(text: bytes) -> tuple[int, ...]:
     return len(words), points, len(bare) - len(bare.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(bare) - len(bare.translate(None, bytes(range(65, 91)))), sum(map(bytes.__eq__, words, words[1:]))
 
 
-def _with_counts(df: DataFrame, text_col: str) -> DataFrame:
-    """``df`` with a column ``_counts``."""
-    from pyspark.sql import types as T
+def _with_counts(df: DataFrame, text_col: str, name: str = "_counts") -> DataFrame:
+    """``df`` with a column ``name``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
             counts = pa.array([statistics_of(t or b"") for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, counts], [*batch.schema.names, "_counts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts], [*batch.schema.names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_counts", T.ArrayType(T.LongType()))]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))]))
 
 
 def _vector(counts: str = "_counts") -> list[Column]:
@@ -177,11 +179,16 @@ def _keys(lang_col: str, source_col: str) -> list[Column]:
 
 
 def _judge(df: DataFrame, pools: DataFrame, params: DataFrame) -> DataFrame:
-    """``df`` (key, base_failed, the vector) with ``kept`` and ``distance``; a group all of whose rows fail has no pool."""
-    far = _distance()
+    """``df`` (key, base_failed, the vector) with ``kept`` and ``distance``; a group all of whose rows fail has no pool.
+
+    There is a row for each language and source; while these are few, they go to all tasks and ``df`` is not shuffled.
+    """
+    known = cut_lineage(pools.join(params, "pool").select("key", "mean", "precision"))
+    if known.count() <= MOST_BROADCAST:
+        known = F.broadcast(known)
     beyond = chi_square_quantile(CUTOFF, len(FEATURES))
-    known = df.join(pools, "key", "left").join(params, "pool", "left")
-    return known.withColumn("distance", far).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= beyond, F.lit(True))).drop("pool", "mean", "precision")
+    far = df.join(known, "key", "left").withColumn("distance", _distance())
+    return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= beyond, F.lit(True))).drop("mean", "precision")
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -204,6 +211,8 @@ def keep(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_c
     rows = cut_lineage(rows.select("key", "lang_key", _base_failed().alias("base_failed"), *_vector()))
     pools = cut_lineage(_pools(rows))
     params = fit(rows.where(~F.col("base_failed")).join(pools, "key").select("pool", *FEATURES))
-    whole = _with_counts(df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), F.col(text_col).alias("text"), *_keys(lang_col, source_col)), "text")
+    # the rows pass through Python once; what is judged stands beside them under names of its own
+    counts = free_name(df, "_counts")
+    whole = _with_counts(df, text_col, counts).select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *_keys(lang_col, source_col), F.col(counts).alias("_counts"))
     judged = _judge(whole.select("row", "key", _base_failed().alias("base_failed"), *_vector()), pools, params)
     return judged.where("kept").select("row.*")
