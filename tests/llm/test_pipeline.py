@@ -34,4 +34,5 @@ def test_stages(spark):
     assert sum(i in left for i in clean) >= 0.95 * len(clean) and sum(i in left for i in toxic) <= 0.1 * len(toxic)
     packed = at[names[4]].collect()
     assert {r.doc_id for r in packed} == left
-    assert sorted((r.doc_id, r.start, r.length) for r in corpus_pipeline.run(spark, SF).collect()) == sorted((r.doc_id, r.start, r.length) for r in packed) or {r.doc_id for r in packed} == left
+    # the cuts follow the partitions, which files may change; what is packed does not
+    assert {(r.doc_id, r.doc_tokens) for r in corpus_pipeline.run(spark, SF).collect()} == {(r.doc_id, r.doc_tokens) for r in packed}
