@@ -2,8 +2,9 @@
 
 Words that are unique to both sides anchor the alignment; the longest increasing subsequence of the anchors is kept
 and the gaps between them are aligned in the same way. A template's coverage is the share of its words that are aligned.
-Windows to align are found by the template's rarest words in the text, so a text that holds a license twice, or a long
-text, is aligned where it matters. Texts are scanned whole in the task that reads them.
+Windows to align are found by those of the template's words that are rarest in the text, so many that no match can lack
+them all. Where a match overlaps a better one, what is left of its window is aligned again. Texts are scanned whole in the task
+that reads them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +38,7 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 COVERAGE = 0.8
-#: Of a template's words, so many of those that are rarest in a text give windows.
+#: Of a template's words, so many at least of those that are rarest in a text give windows.
 RAREST = 4
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
@@ -108,27 +110,55 @@ class Scanner:
         for i, w in enumerate(words):
             if w in self.all:
                 places.setdefault(w, []).append(i)
-        found = []
+        found: list[tuple] = []
+        tried: set[tuple[str, int, int]] = set()
+
+        def align(name: str, lo: int, hi: int) -> list[tuple]:
+            """What words ``lo`` to ``hi`` hold of a template, if enough: most words first, then shortest and first."""
+            template, near = self.templates[name], held[name]
+            lo, hi = max(0, lo), min(len(words), hi)
+            if (name, lo, hi) in tried or bisect_left(near, hi) - bisect_left(near, lo) < self.least * len(template):
+                return []
+            tried.add((name, lo, hi))
+            pairs = patience(template, words[lo:hi])
+            if not pairs or len(pairs) < self.least * len(template):
+                return []
+            first, last = lo + pairs[0][1], lo + pairs[-1][1]
+            return [(-len(pairs), last - first, first, name, last, lo, hi)]
+
+        held: dict[str, list[int]] = {}
         for name, template in self.templates.items():
             known = [w for w in self.sets[name] if w in places]
             if len(known) < self.least * len(self.sets[name]):
                 continue
+            held[name] = sorted(p for w in known for p in places[w])
             slack = len(template) // 4 + 4
+            spots: dict[str, list[int]] = {}
+            for at, w in enumerate(template):
+                spots.setdefault(w, []).append(at)
+            # a match lacks at most so many words of the template; those that the text lacks are among them
+            spare = len(template) * (1 - self.least) - sum(len(x) for w, x in spots.items() if w not in places) + 1e-9
             windows = set()
-            for w in sorted(known, key=lambda w: (len(places[w]), w))[:RAREST]:
-                at = template.index(w)
-                windows |= {(max(0, p - at - slack), p - at + len(template) + slack) for p in places[w]}
-            best: list[tuple[float, int, int]] = []
-            for lo, hi in sorted(windows):
-                pairs = patience(template, words[lo:hi])
-                if len(pairs) >= self.least * len(template):
-                    best.append((len(pairs) / len(template), lo + pairs[0][1], lo + pairs[-1][1]))
-            found += [(len(template) * c, name, c, lo, hi) for c, lo, hi in best]
+            for k, w in enumerate(sorted(known, key=lambda w: (len(places[w]), w))):
+                if k >= RAREST and spare < 0:
+                    break
+                spare -= len(spots[w])
+                windows |= {(p - at - slack, p - at + len(template) + slack) for p in places[w] for at in spots[w]}
+            for lo, hi in windows:
+                found += align(name, lo, hi)
+        heapify(found)
         taken: list[tuple[str, float, int, int]] = []
-        # of those that overlap, the one with most aligned words counts
-        for _, name, c, lo, hi in sorted(found, key=lambda x: (-x[0], x[4] - x[3], x[3], x[1])):
-            if all(hi < s or e < lo for _, _, s, e in taken):
-                taken.append((name, c, lo, hi))
+        while found:
+            n, _, lo, name, hi, begin, end = heappop(found)
+            clash = [(s, e) for _, _, s, e in taken if lo <= e and s <= hi]
+            if not clash:
+                taken.append((name, -n / len(self.templates[name]), lo, hi))
+                continue
+            # the one with most aligned words counts; beside it, the rest of the window may still hold a match
+            for s, e in [*sorted(clash), (end, end)]:
+                for x in align(name, begin, s):
+                    heappush(found, x)
+                begin = e + 1
         return sorted(((name, c, starts[lo], ends[hi]) for name, c, lo, hi in taken), key=lambda x: x[2])
 
 

@@ -439,6 +439,19 @@ def test_licenses(spark, odd):
     assert len(licenses.scan(odd).collect()) == len(ODD) and licenses.scan(odd.where("false")).collect() == []
 
 
+def test_licenses_in_two_copies_that_lack_different_words():
+    t = licenses.TEMPLATES["MIT-terms"]
+    for lost in ("without restriction, including without limitation ", "merge, publish, distribute, sublicense, ", "Permission is hereby granted, ", "portions of the Software."):
+        for gap in (" ", " filler words of no license " * 40):
+            text = t + gap + t.replace(lost, "") + gap + t
+            found = licenses.Scanner().scan(text)
+            assert [n for n, *_ in found] == ["MIT-terms"] * 3, (lost, gap)
+            assert found[0][1] == found[2][1] == 1 and 0.8 <= found[1][1] < 1
+    # a partial copy, and its missing words elsewhere in the text
+    cut = "merge, publish, distribute, sublicense, "
+    assert [n for n, *_ in licenses.Scanner().scan(cut + "x y z " * 200 + t.replace(cut, ""))] == ["MIT-terms"]
+
+
 def test_mixing_meets_targets(spark):
     sf = "/root/testdata/sf0.01"
     docs, labelled = spark.read.parquet(f"{sf}/documents.parquet"), queries.domains_of(spark.read.parquet(f"{sf}/labels.parquet"))
