@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,11 +100,14 @@ class Scanner:
         self.templates = {name: t for name, t in self.templates.items() if t}
         self.sets = {name: frozenset(t) for name, t in self.templates.items()}
         self.all = frozenset().union(*self.sets.values())
+        self.counts = {name: Counter(t) for name, t in self.templates.items()}
+        #: So many different words any match has.
+        self.fewest = min((sum(n < least * len(self.templates[name]) for n in accumulate([0, *sorted(c.values(), reverse=True)])) for name, c in self.counts.items()), default=0)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(name, coverage, start, end in code points) of the templates found, by start; no two overlap."""
         low = text.lower()
-        if sum(w in low for w in self.all) < min((len(s) for s in self.sets.values()), default=0) * self.least:
+        if sum(w in low for w in self.all) < self.fewest:
             return []
         words, starts, ends = words_of(text)
         places: dict[str, list[int]] = {}
@@ -129,7 +133,8 @@ class Scanner:
         held: dict[str, list[int]] = {}
         for name, template in self.templates.items():
             known = [w for w in self.sets[name] if w in places]
-            if len(known) < self.least * len(self.sets[name]):
+            # repeats count, as they do in the coverage
+            if sum(min(n, len(places[w])) for w, n in self.counts[name].items() if w in places) < self.least * len(template):
                 continue
             held[name] = sorted(p for w in known for p in places[w])
             slack = len(template) // 4 + 4

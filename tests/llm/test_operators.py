@@ -452,6 +452,19 @@ def test_licenses_in_two_copies_that_lack_different_words():
     assert [n for n, *_ in licenses.Scanner().scan(cut + "x y z " * 200 + t.replace(cut, ""))] == ["MIT-terms"]
 
 
+def test_licenses_that_lack_words_that_stand_once():
+    s = licenses.Scanner()
+    for name, lost in (("Apache-2.0-header", 15), ("MIT-terms", 16), ("GPL-3.0-header", 13), ("BSD", 12)):
+        words = licenses.words_of(licenses.TEMPLATES[name])[0]
+        once = [w for w in words if words.count(w) == 1]
+        gone = set(once[:: max(1, len(once) // lost)][:lost])
+        left = [w for w in words if w not in gone]
+        assert len(left) >= 0.8 * len(words)
+        found = s.scan("a b c " * 30 + " ".join(left) + " d e f" * 30)
+        assert [(n, round(c, 6)) for n, c, _, _ in found] == [(name, round(len(left) / len(words), 6))]
+    assert [n for n, *_ in licenses.Scanner({"x": "a a a a a a a a b c"}).scan("q a a a a a a a a q")] == ["x"]
+
+
 def test_mixing_meets_targets(spark):
     sf = "/root/testdata/sf0.01"
     docs, labelled = spark.read.parquet(f"{sf}/documents.parquet"), queries.domains_of(spark.read.parquet(f"{sf}/labels.parquet"))
