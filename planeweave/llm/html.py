@@ -2,7 +2,7 @@
 
 Paragraphs pass points to their ancestors, for their length and commas, less by each level; a container's points are
 discounted by the share of its text that stands in links. The best container is widened to the article or main element
-it lies in, and those of its siblings are kept that are headings, paragraphs or score well. Navigation, forms, adverts,
+it lies in, and those of its (or the article's) siblings are kept that are headings, paragraphs or score well. Navigation, forms, adverts,
 notices, comments and the like are cut from the tree first, by element and by the words of their class, id and role.
 """
 
@@ -217,19 +217,58 @@ def blocks(top: Node) -> list[str]:
     return found
 
 
+def _nearest(node: Node | None, tags: tuple[str, ...]) -> Node | None:
+    while node is not None and node.tag not in tags:
+        node = node.parent
+    return node
+
+
+def _holds(top: Node, tags: tuple[str, ...]) -> bool:
+    return any(node.tag in tags for node, _ in walk(top))
+
+
+def _with_likes(article: Node, best: Node) -> list[str]:
+    """The blocks of ``article`` and of what goes with it, such as the other parts of a story and the headline of its main element.
+
+    At each level up to the outermost article or main element, and at one level at least, siblings are kept that are
+    headings, paragraphs or score well. Further out only those are looked at that hold articles themselves.
+    """
+    top, up = article, article.parent
+    while up is not None:
+        if up.tag in ("article", "main"):
+            top = up
+        up = up.parent
+    found, node, inside = blocks(article), article, True
+    while node.parent is not None and node.tag != "body":
+        inside = inside and node is not top
+        near = inside or node is article
+        # what the best container must reach, carried over to this level
+        least = max(1.0, 0.2 * best.points) * min(1.0, node.points / best.points)
+        kept: list[str] = []
+        before = True
+        for x in node.parent.parts:
+            if x is node:
+                kept += found
+                before = False
+            elif isinstance(x, Node):
+                told = near and (x.tag in HEADINGS or x.tag in ("p", "blockquote", "pre", "hgroup") or inside and before and (x.tag == "header" or _holds(x, ("h1",))))
+                scored = least > 0 and x.points >= least and (near or _holds(x, ("article",)))
+                if told or scored:
+                    kept += blocks(x)
+        found, node = kept, node.parent
+    return found
+
+
 def main_text(page: str) -> str:
     """The main text of ``page``: its blocks, joined by two line feeds."""
     root = parse(page)
     best = score(root)
     if best is None:
         return "\n\n".join(blocks(root))
-    for tags in (("article",), ("main",)):
-        up: Node | None = best
-        while up is not None and up.tag not in tags:
-            up = up.parent
-        if up is not None:
-            # an article among several of one page, such as the parts of a story, goes with its likes
-            return "\n\n".join(blocks(up))
+    if (article := _nearest(best, ("article",))) is not None:
+        return "\n\n".join(_with_likes(article, best))
+    if (up := _nearest(best, ("main",))) is not None:
+        return "\n\n".join(blocks(up))
     if best.parent is None or best.tag in ("body", "html"):
         return "\n\n".join(blocks(best))
     found: list[str] = []

@@ -343,6 +343,17 @@ def test_page_of_other_make():
     assert html.main_text("<article><h1>T</h1><p>a</p><aside>no</aside></article><article class='x'><p>b</p></article>").startswith("T\n\na")
 
 
+def test_stories_of_several_articles():
+    assert html.main_text("<article><h1>T</h1><p>a</p><aside>no</aside></article><article class='x'><p>b</p></article>") == "T\n\na\n\nb"
+    p = "Long enough, with commas, to score, as a part of the story does. " * 3
+    part = f"<article><div class='body'><p>{p}</p><p>{p}</p></div></article>"
+    told = " ".join(p.split())
+    page = f"<body><nav>n</nav><main><div><h1>Head</h1></div><p>Lead</p><section>{part}</section><div>{part}</div><div><a href='x'>more</a></div></main><div>end</div></body>"
+    assert html.main_text(page).split("\n\n") == ["Head", "Lead", *[told] * 4]
+    rows = f"<body><div>{part}</div><div>{part}</div><div><article><a href='x'><p>teaser</p></a></article></div><div><p>{p}</p></div></body>"
+    assert html.main_text(rows).split("\n\n") == [told] * 4
+
+
 def test_pages_on_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a</p>", "y"), (1, None, None, "x")], "page_id long, url string, html string, text string")
     rows = html.extract(df).collect()
