@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for what they miss.
 
 A candidate is a run of secret-like characters that follows a sensitive word closely. Its novelty is the number of
-bytes by which the compressed code around it grows when the candidate is put in, zstandard being primed with a
-dictionary of common identifiers. Names, paths and prose repeat the dictionary or the code around them and cost little; a key
+bytes by which the compressed code around it, without further copies of the candidate, grows when the candidate is put in,
+zstandard being primed with a dictionary of common identifiers. Names, paths and prose repeat the dictionary or the code around them and cost little; a key
 costs nearly its length. Each text is scanned whole, in the task that reads it.
 """
 
@@ -66,8 +66,13 @@ class Novelty:
         self.press = zstandard.ZstdCompressor(level=19, dict_data=known, write_content_size=False, write_checksum=False)
 
     def marginal(self, text: str, start: int, end: int) -> int:
-        before, after = text[max(0, start - AROUND) : start].encode(), text[end : end + AROUND].encode()
-        return len(self.press.compress(before + text[start:end].encode() + after)) - len(self.press.compress(before + after))
+        body = text[start:end]
+        # copies that reach over the edge of the surroundings are whole in these
+        before, after = text[max(0, start - AROUND - len(body)) : start], text[end : end + AROUND + len(body)]
+        for x in {body, *(x for x in body.split("=") if len(x) >= 16)}:  # a copy of a secret tells nothing about its novelty
+            before, after = before.replace(x, " "), after.replace(x, " ")
+        head, tail = before[-AROUND:].encode(), after[:AROUND].encode()
+        return len(self.press.compress(head + body.encode() + tail)) - len(self.press.compress(head + tail))
 
     def spans(self, text: str, taken: list[Span]) -> list[Span]:
         """Candidates in sensitive context that are novel and touch no span in ``taken``."""
@@ -82,9 +87,8 @@ class Novelty:
         starts = [s for s, _, _ in taken]
         reach = list(accumulate((e for _, _, e in taken), max))  # how far the spans up to each go
         for start, end in sorted(found.items()):
-            body = text[start:end]
             before = bisect_left(starts, end)
-            if not any(c.isdigit() for c in body) or (before and reach[before - 1] > start) or (kept and start < kept[-1][2]):
+            if (before and reach[before - 1] > start) or (kept and start < kept[-1][2]):
                 continue
             grown = self.marginal(text, start, end)
             if grown >= LEAST and grown >= NOVELTY * (end - start):

@@ -307,6 +307,21 @@ def test_novelty():
     assert (secrets.KINDS[k], text[s:e]) == ("novel", "Zx81kQp0-a8sd7f6as9d8f7")
 
 
+def test_novelty_of_letters_and_of_copies(spark):
+    novel, rng = secrets.Novelty(), random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for n in (16, 24, 32, 64, 128):
+        key = "".join(rng.choices(letters, k=n))
+        text = f"Authorization: Bearer {key} end"
+        assert [text[s:e] for s, _, e in novel.spans(text, [])] == [key]
+    key = "Zx81kQp0a8sd7f6as9d8f7LmQw3rTy5u"
+    for gap in (" ", " x" * 60, " word" * 45):  # the last one's copies lie over the edge of the surroundings
+        line = f"curl -H 'Authorization: Bearer {key}' https://www.example.com/index.html{gap}"
+        assert [(line * 2)[s:e] for s, _, e in novel.spans(line * 2, [])] == [key] * 2
+        df = spark.createDataFrame([(1, line * 3)], "doc_id long, text string")
+        assert key not in secrets.redact(df).first().text
+
+
 def test_redaction(spark, odd):
     df = spark.createDataFrame([(1, "é password=abcdefghijklmnop0123456789abcdef. end", 5), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     rows = {r.doc_id: r for r in secrets.redact(df).collect()}
