@@ -29,7 +29,7 @@ from planeweave.llm.common import cut_lineage, free_name, utf8_column
 from planeweave.llm.tokens import chunk_table
 
 #: Labelled documents that the classifier is fit on, at most.
-SAMPLE = 6000
+SAMPLE = 8192
 #: Hashed features, and those chosen for each domain.
 SLOTS, CHOSEN = 1 << 18, 128
 LEAST_DOCS, FIT_STEPS, RIDGE = 5, 150, 1e-4

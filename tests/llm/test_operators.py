@@ -503,6 +503,12 @@ def test_mixing_meets_targets(spark):
     assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
 
 
+def test_bound_of_labelled_rows(spark):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "'text ' || id AS text")
+    labelled = spark.range(9000).selectExpr("id", "IF(id % 2 = 0, 'a', 'b') AS domain")
+    assert len(mixing.labelled_sample(docs, labelled, ["a", "b"], "doc_id", "text")) == 8192
+
+
 def test_classifier_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     labels = queries.domains_of(spark.read.parquet(f"{sf}/labels.parquet"))
