@@ -44,6 +44,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID)
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as examples, the assistant's alone bearing loss, under limits that all bind."""
+    turns = _table(spark, sf_dir, "conversations")
+    return packing.pack(turns, public_tokenizers.path(WORD_BPE), END_ID, id_col="conv_id", keys=("turn",), loss_col=F.col("role") == "assistant", tokens=2048, segments=24, loss=768)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -73,10 +79,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The ten operators' queries by name."""
+    """The ten operators' queries by name, and one of packing where all its limits bind."""
     found = [
         op1_nearest_neighbours, op2_quality_rules, op3_license_scan, op4_token_counts, op5_simhash_near_dedup,
-        op6_packing, op7_secret_scan, op8_warc_derivatives, op9_html_extraction, op10_mixing,
+        op6_packing, op7_secret_scan, op8_warc_derivatives, op9_html_extraction, op10_mixing, instruction_packing,
     ]
     return {f.__name__: f for f in found}
 

@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for what they miss.
 
-A candidate is a run of secret-like characters that follows a sensitive word closely. Its novelty is the number of
+A candidate is a run of secret-like characters that follows a sensitive word closely; of a run that holds such words itself, what
+comes after the first of them, or else after the last. Its novelty is the number of
 bytes by which the compressed code around it, without further copies of the candidate, grows when the candidate is put in,
 zstandard being primed with a dictionary of common identifiers. Names, paths and prose repeat the dictionary or the code around them and cost little; a key
 costs nearly its length. Each text is scanned whole, in the task that reads it.
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from planeweave.llm.common import bounded
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run of [0-9a-f] is a match of this if it has 16 or more
@@ -27,7 +30,8 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words after which a secret may stand within ``REACH`` characters.
 SENSITIVE = re.compile(r"passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|auth[_-]?key|signing[_-]?key|client[_-]?id|session[_-]?id", re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16}")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]*+")
 REACH, AROUND = 48, 256
 #: Share of a candidate's length, and bytes, that it must add to the compressed code.
 NOVELTY, LEAST = 0.6, 10
@@ -58,6 +62,23 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+def candidates(text: str) -> list[tuple[int, int, int]]:
+    """(start, start after the last sensitive word inside, end) of runs near sensitive words, in order; none overlap.
+
+    Each run is read once, and after a word no further than ``REACH``, so this takes a time linear in the text.
+    """
+    found: list[list[int]] = []
+    end = 0  # of the last run
+    for word in SENSITIVE.finditer(text):
+        if word.end() <= end:
+            found[-1][1] = word.end()
+        at = max(word.end(), end)
+        while (m := CANDIDATE.search(text, at, word.end() + REACH + 16)) is not None:
+            at = end = RUN.match(text, m.end()).end()
+            found.append([m.start(), m.start(), end])
+    return [tuple(x) for x in found]
+
+
 class Novelty:
     """The marginal compressed size of strings in their surroundings."""
 
@@ -76,23 +97,19 @@ class Novelty:
 
     def spans(self, text: str, taken: list[Span]) -> list[Span]:
         """Candidates in sensitive context that are novel and touch no span in ``taken``."""
-        found: dict[int, int] = {}
-        for word in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, word.end(), word.end() + REACH + 256):
-                if m.start() - word.end() > REACH:
-                    break
-                end = m.end() if m.end() < word.end() + REACH + 256 else re.compile(r"[A-Za-z0-9+/_.=-]*").match(text, m.start()).end()
-                found[m.start()] = max(end, found.get(m.start(), 0))
+        found = candidates(text)
         kept: list[Span] = []
         starts = [s for s, _, _ in taken]
         reach = list(accumulate((e for _, _, e in taken), max))  # how far the spans up to each go
-        for start, end in sorted(found.items()):
+        for start, later, end in found:
             before = bisect_left(starts, end)
-            if (before and reach[before - 1] > start) or (kept and start < kept[-1][2]):
-                continue
-            grown = self.marginal(text, start, end)
-            if grown >= LEAST and grown >= NOVELTY * (end - start):
-                kept.append((start, 3, end))
+            for at in {start: 0, later: 0} if later + 16 <= end else (start,):
+                if before and reach[before - 1] > at:
+                    continue
+                grown = self.marginal(text, at, end)
+                if grown >= LEAST and grown >= NOVELTY * (end - at):
+                    kept.append((at, 3, end))
+                    break
         return kept
 
 
@@ -103,14 +120,15 @@ def _told(spans: list[Span]) -> str:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end in code points, end exclusive).
 
-    A null text counts as empty and has no spans. Repeated rows are returned each; an empty table gives no rows; further
-    columns are left out.
+    A null, empty or blank text has no spans; a null id stays null. A text of any length is scanned whole, in a time linear in it. Of
+    spans that begin together the kinds' order decides. Repeated rows are returned each; an empty table gives no rows; further
+    columns, whatever their names, are left out.
     """
     out = pa.schema([(id_col, pa.int64()), *((n, pa.int64()) for n in ("n_assign", "n_access", "n_hex")), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for batch in batches:
+        for batch in bounded(batches, text_col):
             columns: list[list] = [[] for _ in range(5)]
             for text in batch.column(1).to_pylist():
                 base = base_spans(text or "")
@@ -126,7 +144,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[secret]") -> DataFrame:
     """``df`` with every secret in ``text_col`` replaced by ``mark``; all rows and columns stay. A null text stays null.
 
-    ``length_col``, where there is such a column, gets the new text's length in code points; null stays null.
+    ``length_col``, where there is such a column, gets the new text's length in code points; null stays null. An empty text and one of
+    any length are treated alike, spans that overlap become one mark, repeated rows are redacted each, an empty table stays empty, and
+    columns of any name are kept as they are.
     """
 
     def clean(text: str | None, novelty: Novelty) -> str | None:
@@ -143,7 +163,7 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for batch in batches:
+        for batch in bounded(batches, text_col):
             at = batch.schema.get_field_index(text_col)
             texts = [clean(t, novelty) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))

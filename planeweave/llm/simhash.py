@@ -1,5 +1,8 @@
 """SimHash near-duplicates by tiled exact comparison.
 
+``near_duplicates`` links fingerprints; ``similar`` links texts by the similarity of their shingles, see there. In both, a pair is
+compared by numpy exclusive-or and bit counts, tile by tile.
+
 Rows with equal fingerprints are one class from the start. Two of the distinct fingerprints that differ in at most
 ``radius`` bits agree wholly in one of ``radius + 1`` bit ranges, so each is dealt to one block for each range. In a
 block, fingerprints are sorted by population count and cut into tiles; a pair of tiles is compared by numpy
@@ -16,10 +19,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from planeweave.llm.common import cut_lineage, utf8_column
+from planeweave.llm.common import bounded, cut_lineage, free_name, join_by, split_by, utf8_column
 from planeweave.llm.components import components
 
 SEED = 42
@@ -28,6 +32,12 @@ BLOCK = 4096
 TILE = 256
 #: Texts whose shingles are counted together.
 GROUP = 128
+#: Minima in a band, and bands, by which texts of a similarity of 0.8 meet: 0.9998 of them in one band at least.
+ROWS, BANDS = 4, 16
+#: Bits in which the fingerprints of texts of that similarity may differ: 10 on average, more than 24 for one in a million.
+NEAR = 24
+#: Shingles of the texts compared with each other in one task, about; of a longer text, all.
+SHINGLES = 1 << 21
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -67,7 +77,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = pa.schema([(id_col, pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, text_col):
             texts = utf8_column(batch, text_col)
             found = [fingerprints_of([shingle_hashes(t, width) for t in texts[i : i + GROUP]]) for i in range(0, len(texts), GROUP)]
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], schema=out)
@@ -157,6 +167,17 @@ def _block_links(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.
         yield from links(np.ascontiguousarray(np.concatenate(rest, axis=1)))
 
 
+def dealt(rows: DataFrame, by: list[str], parts: Column, key: Column) -> DataFrame:
+    """``rows`` with ``block`` and ``side``: those alike in ``by`` meet in one block, or, if ``parts`` is over 1, each two of them in a
+    block of a pair of parts, where only rows of different sides are to be compared."""
+    sub = F.pmod(F.xxhash64(key), parts)
+    none = F.lit(-1).cast("long")
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda o: F.struct(F.least(sub, o).alias("lo"), F.greatest(sub, o).alias("hi"), F.when(o == sub, none).otherwise(sub).alias("side")))
+    whole = F.array(F.struct(none.alias("lo"), none.alias("hi"), none.alias("side")))
+    rows = rows.withColumn("_pair", F.explode(F.when(parts > 1, pair).otherwise(whole)))
+    return rows.withColumns({"block": F.xxhash64(*by, "_pair.lo", "_pair.hi"), "side": F.col("_pair.side")}).drop("_pair")
+
+
 def links(classes: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
     """(a, b): links of distinct fingerprints ``fp`` that connect all that lie within ``radius`` bits, directly or by others."""
     edges = np.linspace(0, 64, radius + 2).astype(int)
@@ -166,34 +187,189 @@ def links(classes: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
     large = rows.groupBy("part", "bits").agg(F.count("*").alias("n")).where(F.col("n") > block)
     rows = rows.join(large, ["part", "bits"], "left")
     # a large block is compared as pairs of sub-blocks: each row goes to the pairs that its sub-block is in
-    subs = F.ceil(F.col("n") / F.lit(block // 2)).cast("long")
-    sub = F.pmod(F.xxhash64("fp"), subs)
-    none = F.lit(-1).cast("long")
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), subs - 1), lambda o: F.struct(F.least(sub, o).alias("lo"), F.greatest(sub, o).alias("hi"), F.when(o == sub, none).otherwise(sub).alias("side")))
-    whole = F.array(F.struct(none.alias("lo"), none.alias("hi"), none.alias("side")))
-    rows = rows.withColumn("pair", F.explode(F.when(F.col("n").isNull(), whole).otherwise(pair)))
-    rows = rows.select(F.xxhash64("part", "bits", "pair.lo", "pair.hi").alias("block"), "pair.side", "fp")
+    rows = dealt(rows, ["part", "bits"], F.coalesce(F.ceil(F.col("n") / F.lit(block // 2)), F.lit(1)).cast("long"), F.col("fp"))
+    rows = rows.select("block", "side", "fp")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _block_links(it, radius), "a long, b long")
 
 
+def _with_component(docs: DataFrame, classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``docs`` (with ``key``) and component_id, from classes (key, low, n) and what ``components`` found of their links."""
+    linked = classes.join(found.withColumnRenamed("node", key), key).select(key, "low", "n", "root")
+    sizes = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n_keys"))
+    linked = cut_lineage(linked)
+    of_linked = join_by(linked, cut_lineage(sizes), "root", "n_keys", linked.count()).select(key, "component_id")
+    of_class = cut_lineage(classes.join(of_linked, key, "left").select(key, "n", F.coalesce("component_id", "low").alias("component_id")))
+    return join_by(docs, of_class, key, "n", docs.count())
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``df``: id_col, fingerprint (16 hex digits), component_id (the smallest id reachable).
 
-    A null, empty or blank text has fingerprint zero and is linked like any other. Repeated rows and equal texts share a
-    class; a repeated id is returned as often as it comes. An empty table gives no rows; further columns are left out.
+    A null, empty or blank text has fingerprint zero and is linked like any other; a text of any length is read whole. A null id
+    counts for no component_id. Repeated rows and equal texts share a class; a repeated id is returned as often as it comes. An
+    empty table gives no rows; further columns, whatever their names, are left out.
     """
-    docs = cut_lineage(fingerprints(df, id_col, text_col, width))
-    classes = docs.groupBy("fp").agg(F.min(id_col).alias("low"))
+    docs = cut_lineage(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", width))
+    classes = cut_lineage(docs.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")))
     found = components(links(classes.select("fp"), radius, block))
-    linked = classes.join(found.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_linked = linked.join(least, "root").select("fp", "component_id")
-    of_class = classes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return docs.join(of_class, "fp").select(id_col, digits.alias("fingerprint"), "component_id")
+    return _with_component(docs, classes, found, "fp").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+
+
+# --- by similarity ------------------------------------------------------------------------------------------
+
+_MULTIPLY = np.random.default_rng(SEED).integers(0, 1 << 63, ROWS * BANDS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = np.random.default_rng(SEED + 1).integers(0, 1 << 63, ROWS * BANDS, np.int64).astype(np.uint64)
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The different hashes of a text's shingles, in order."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def key_of(shingles: np.ndarray) -> bytes:
+    """16 bytes that tell sets of shingles apart."""
+    return xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
+
+
+def bands_of(shingles: np.ndarray) -> list[int]:
+    """A number for each band, alike with the probability of the sets' similarity to the power of ``ROWS``. No shingles, no bands."""
+    if not len(shingles):
+        return []
+    least = np.empty(ROWS * BANDS, np.uint64)
+    for i in range(0, ROWS * BANDS, ROWS):
+        least[i : i + ROWS] = (shingles[None, :] * _MULTIPLY[i : i + ROWS, None] + _ADD[i : i + ROWS, None]).min(axis=1)
+    return [xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i) - (1 << 63) for i in range(0, ROWS * BANDS, ROWS)]
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two ordered sets have a Jaccard similarity of at least ``similarity``."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def similar_links(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among texts: those whose fingerprints lie within ``radius`` and whose sets are alike."""
+    counts = np.bitwise_count(fps)
+    order = np.argsort(counts, kind="stable")
+    fps, counts = fps[order], counts[order].astype(np.int16)
+    side = None if side is None else side[order]
+    root, found = np.arange(len(fps)), []
+    for i in range(0, len(fps), TILE):
+        top = counts[min(i + TILE, len(fps)) - 1]
+        for j in range(i, len(fps), TILE):
+            if counts[j] - top > radius:
+                break
+            near = np.bitwise_count(fps[i : i + TILE, None] ^ fps[None, j : j + TILE]) <= radius
+            if side is not None:
+                near &= side[i : i + TILE, None] != side[None, j : j + TILE]
+            x, y = np.nonzero(near)
+            x, y = x + i, y + j
+            apart = (x < y) & (root[x] != root[y])  # what is linked already needs no comparison
+            for a, b in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+                if root[a] != root[b] and alike(sets[order[a]], sets[order[b]], similarity):
+                    root[root == root[b]] = root[a]
+                    found.append((int(order[a]), int(order[b])))
+    return found
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``df`` but those of documents with a smaller id in their component. A row without an id stays."""
-    later = near_duplicates(df, id_col, **how).where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_later")).distinct()
-    return df.join(later, df[id_col].cast("long") == F.col("_later"), "left_anti")
+def _similar_in_blocks(batches: Iterable[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (block, side, key, fp, shingles) come sorted by block; a block is compared when its last row is there."""
+    block, held = None, []
+
+    def links_of() -> pa.RecordBatch:
+        sides = np.array([r[0] for r in held])
+        found = similar_links(np.array([r[2] for r in held], np.int64).view(np.uint64), [r[3] for r in held], radius, similarity, None if sides[0] == sides[-1] == -1 else sides)
+        return pa.record_batch({"a": pa.array([held[i][1] for i, _ in found], pa.binary()), "b": pa.array([held[j][1] for _, j in found], pa.binary())})
+
+    for batch in batches:
+        blocks, sides, keys, fps = (batch.column(i).to_pylist() for i in range(4))
+        sets = batch.column(4)
+        ends, values = sets.offsets.to_numpy(), sets.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        for i, b in enumerate(blocks):
+            if b != block:
+                if len(held) > 1:
+                    yield links_of()
+                block, held = b, []
+            held.append((sides[i], keys[i], fps[i], values[ends[i] : ends[i + 1]].copy()))
+    if len(held) > 1:
+        yield links_of()
+
+
+def _keyed(df: DataFrame, text_col: str, width: int, more: list[T.StructField], told) -> DataFrame:
+    """``df`` with the columns ``more``, which ``told`` gives as lists for the sets of shingles of many texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, text_col):
+            columns = told([shingle_set(t, width) for t in utf8_column(batch, text_col)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f.name for f in more)])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *more]))
+
+
+def _fps(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate([np.zeros(0, np.uint64), *(fingerprints_of(sets[i : i + GROUP]) for i in range(0, len(sets), GROUP))]).view(np.int64))
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = NEAR, shingles: int = SHINGLES) -> DataFrame:
+    """One row for each row of ``df``: id_col, key (16 bytes, alike for texts of the same shingles), component_id.
+
+    Two texts are linked if the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more; component_id is
+    the smallest id reachable. At that similarity fingerprints differ in some ten bits, and 25 bit ranges would bring all texts
+    together, so texts meet by the minima of their hashed shingles (``BANDS`` bands of ``ROWS``) instead. What meets, directly or by
+    others, is one block, to which each different text sends its shingles once; there, pairs are compared tile by tile as
+    fingerprints, and as sets if those lie within ``radius`` and the texts aren't linked yet. Blocks of more than ``shingles``
+    shingles are dealt out as pairs of parts.
+
+    A null, empty or blank text has no shingles and is like any other such text; a text under ``width`` words has one. Texts of any length are
+    read whole. A null id counts for no component_id. Repeated rows share a class and are returned each; an empty table gives no rows;
+    further columns, whatever their names, are left out.
+    """
+    bare = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    key, fp, sizes = T.StructField("key", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("size", T.LongType())
+    bands = T.StructField("bands", T.ArrayType(T.LongType()))
+    met = _keyed(bare, "text", width, [key, sizes, bands], lambda sets: [pa.array(map(key_of, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(bands_of, sets), pa.list_(pa.int64()))])
+    docs = cut_lineage(met.select("id", "key", "size", "bands"))
+    classes = cut_lineage(docs.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    rows = cut_lineage(classes.select("key", F.explode("bands").alias("band")))
+    first = cut_lineage(rows.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    stars = join_by(rows, first, "band", "n", rows.count()).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    # a class without an id can't be asked for by one; its rows are found by the key alone
+    grouped = classes.join(components(stars).withColumnRenamed("node", "key"), "key").select("key", "low", "size", "root")
+    grouped = cut_lineage(grouped)
+    weights = cut_lineage(grouped.groupBy("root").agg(F.count("*").alias("n"), F.ceil(2 * F.sum("size") / F.lit(shingles)).alias("parts")))
+    n = grouped.count()
+    wanted = cut_lineage(join_by(grouped, weights, "root", "n", n).select("key", "low", "root", F.when(F.col("parts") > 2, F.col("parts")).otherwise(1).cast("long").alias("parts")))
+    _, asked = split_by(bare, wanted.select("low"), n, F.col("id"))
+    sets = _keyed(asked, "text", width, [key, fp, T.StructField("shingles", T.ArrayType(T.LongType()))], lambda sets: [pa.array(map(key_of, sets), pa.binary()), _fps(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))])
+    # of repeated rows each partition sends one
+    sets = sets.groupBy("id", "key").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
+    joined = sets.join(wanted.withColumnRenamed("low", "id"), ["id", "key"])
+    blocks = dealt(joined, ["root"], F.col("parts"), F.col("key")).select("block", "side", "key", "fp", "shingles")
+    found = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _similar_in_blocks(it, radius, similarity), "a binary, b binary")
+    return _with_component(docs.select("id", "key"), classes.select("key", "low", "n"), components(found), "key").select(F.col("id").alias(id_col), "key", "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of the rows of ``df`` whose texts are linked by ``similar``, directly or by others, the one with the smallest id, with its columns.
+
+    Of rows with that id and text, one stays: repeated rows go. A row without an id stays. Null and empty texts are alike, so one of
+    them stays. An empty table gives no rows; columns of any name are kept as they are. Only rows that may go are shuffled: see
+    ``split_by``.
+    """
+    told = similar(df, id_col, text_col, width, similarity).select(F.col(id_col).alias("id"), "key", "component_id").where("id IS NOT NULL")
+    found = cut_lineage(told.groupBy("id", "key").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")))
+    later = cut_lineage(found.where("component_id < id").select("id", "key"))
+    odd = later.select("id").unionByName(found.where("n > 1").select("id")).distinct()
+    odd = cut_lineage(odd)
+    kept, asked = split_by(df, odd, odd.count(), F.col(f"`{id_col}`").cast("long"))
+    name = free_name(df, "_key")
+    keyed = _keyed(asked, text_col, width, [T.StructField(name, T.BinaryType())], lambda sets: [pa.array(map(key_of, sets), pa.binary())])
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    one = keyed.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(name).alias("key"), row, F.xxhash64(F.col(f"`{text_col}`")).alias("order"))
+    one = one.groupBy("id", "key").agg(F.min_by("row", "order").alias("row")).join(later, ["id", "key"], "left_anti")
+    return kept.unionByName(one.select("row.*"))

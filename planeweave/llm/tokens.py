@@ -5,13 +5,18 @@ folds white space, its pre-tokenizer drops it, and no canonical composition cros
 the tokens of its chunks in order, and a chunk's token count depends on the chunk alone. Special strings hold no white
 space, so each lies inside one chunk, where the library treats it by its own default.
 
-Tier one is a broadcast table of at most ``FREQUENT`` frequent chunks, found by a bounded sketch over all texts. Tier
-two is a bounded cache in each Python worker, filled by the library itself from the chunks that tier one misses. No
-chunk is ever shuffled: a task sends one bounded sketch, and texts are counted where they are read.
+Tier one is a broadcast table of at most ``FREQUENT`` frequent chunks, found by a bounded sketch over all texts; it goes
+out as one run of bytes with two arrays of numbers. Tier two is a bounded cache in each Python worker, filled by the library itself
+from the chunks that tier one misses. No chunk is ever shuffled: a task sends one bounded sketch, and texts are counted where they
+are read.
+
+What is said of white space, case and stops holds for tokenizers that lower the case, drop white space and mark the ends of words. Of
+any other, texts are encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import Counter
@@ -23,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planeweave.llm.common import utf8_column
+from planeweave.llm.common import bounded, utf8_column
 
 #: Chunks in the broadcast table; with ``LONGEST`` bytes each at most, it stays under 3 MB.
 FREQUENT = 16_384
 #: Longer chunks are encoded each time and kept in neither tier.
 LONGEST = 64
 #: Entries of a worker's table before the later half of its second tier goes.
-CACHE = 600_000
+CACHE = 150_000
 #: Texts whose chunks are looked up together.
 TOGETHER = 256
 #: Chunks joined in one string for the library.
@@ -57,6 +62,28 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+def parts_at_space(path: str) -> bool:
+    """Whether the tokenizer of ``path`` lowers the case, drops white space and marks the ends of words, so that ``chunks_of`` holds."""
+    told = json.loads(tokenizer(path).to_str())
+    steps = [told.get("normalizer") or {}, *((told.get("normalizer") or {}).get("normalizers") or [])]
+    return any(x.get("type") == "Lowercase" for x in steps) and (told.get("model") or {}).get("end_of_word_suffix") == "</w>"
+
+
+class Frequent:
+    """Chunks and their token counts, packed for the way to the workers."""
+
+    def __init__(self, counts: dict[bytes, int]):
+        chunks = sorted(counts)
+        self.bytes = b"".join(chunks)
+        self.ends = np.cumsum([len(c) for c in chunks], dtype=np.uint32)
+        self.counts = np.array([counts[c] for c in chunks], np.uint16)
+        self.name = hash((self.bytes, self.counts.tobytes()))
+
+    def table(self) -> dict[bytes, int]:
+        ends = self.ends.tolist()
+        return {self.bytes[a:b]: n for a, b, n in zip([0, *ends], ends, self.counts.tolist(), strict=False)}
+
+
 def chunks_of(text: bytes) -> list[bytes]:
     """The chunks of a text: what white space parts, or finer where that gives the same tokens.
 
@@ -71,15 +98,20 @@ def chunks_of(text: bytes) -> list[bytes]:
 class ChunkTable:
     """Chunk to its ids (little-endian, four bytes each) or, with ``counts``, to their number; two tiers, looked up as one."""
 
-    def __init__(self, path: str, counts: bool, frequent: dict | None = None, limit: int = CACHE):
-        self.path, self.counts, self.frequent, self.limit = path, counts, frequent or {}, limit
-        self.table = dict(self.frequent)
+    def __init__(self, path: str, counts: bool, frequent: Frequent | None = None, limit: int = CACHE):
+        self.path, self.counts, self.limit = path, counts, limit
+        self.table = frequent.table() if frequent else {}
         tok = tokenizer(path)
+        self.by_chunk = parts_at_space(path)
         self.ends = np.zeros(tok.get_vocab_size(), bool)
         self.ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
 
     def of(self, texts: list[bytes]) -> Iterator[list]:
         """The values of each text's chunks in order. What is missing is encoded for many texts at once."""
+        if not self.by_chunk:
+            for text in texts:
+                yield list(self._each([text]).values())
+            return
         for i in range(0, len(texts), TOGETHER):
             split = list(map(chunks_of, texts[i : i + TOGETHER]))
             if len(self.table) > self.limit:
@@ -143,9 +175,9 @@ class ChunkTable:
         return {c: len(e.ids) if self.counts else np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, encoded, strict=True)}
 
 
-def chunk_table(path: str, counts: bool, frequent: dict | None = None) -> ChunkTable:
-    """The worker's table for this use; it outlives a task."""
-    name = (path, counts, hash(frozenset((frequent or {}).items())))
+def chunk_table(path: str, counts: bool, frequent: Frequent | None = None) -> ChunkTable:
+    """The worker's table for this use, the only one it holds; it outlives a task."""
+    name = (path, counts, frequent.name if frequent else None)
     if name not in _tables:
         _tables.clear()
         _tables[name] = ChunkTable(path, counts, frequent)
@@ -154,10 +186,10 @@ def chunk_table(path: str, counts: bool, frequent: dict | None = None) -> ChunkT
 
 def _sketch(batches: Iterable[pa.RecordBatch], text_col: str, size: int) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
-    for batch in batches:
+    for batch in bounded(batches, text_col):
         for text in utf8_column(batch, text_col):
-            seen.update(text.split())
-            if len(seen) > 32 * size:
+            seen.update(chunks_of(text))  # as they are looked up
+            if len(seen) > 8 * size:
                 seen = Counter(_top(seen, 4 * size))
     kept = [x for x in _top(seen, 2 * size).items() if len(x[0]) <= LONGEST][:size]
     yield pa.record_batch({"chunks": pa.array([[c for c, _ in kept]], pa.list_(pa.binary())), "counts": pa.array([[n for _, n in kept]], pa.list_(pa.int64()))})
@@ -183,17 +215,18 @@ def frequent_chunks(df: DataFrame, text_col: str = "text", size: int = FREQUENT)
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, frequent: int = FREQUENT) -> DataFrame:
     """Per row: ``id_col``, n_bytes, n_tokens, over_limit (n_tokens > ``limit``), as the library's tokenizer counts.
 
-    A null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each; an empty table gives no rows;
-    further columns, whatever their names, are left out. Texts of any length are counted whole.
+    A null text counts as empty (0 bytes, 0 tokens), and a null id stays null. Repeated rows are counted each; an empty table gives no
+    rows; further columns, whatever their names, are left out. Texts of any length are counted whole. ``path`` is a file of the
+    tokenizers library.
     """
-    top = frequent_chunks(df, text_col, frequent)
-    known = ChunkTable(path, counts=True).encode(top)
-    shared = df.sparkSession.sparkContext.broadcast(known)
+    top = frequent_chunks(df, text_col, frequent) if parts_at_space(path) else []
+    known = ChunkTable(path, counts=True).encode(top) if top else {}
+    shared = df.sparkSession.sparkContext.broadcast(Frequent(known))
     out = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(path, True, shared.value)
-        for batch in batches:
+        for batch in bounded(batches, text_col):
             texts = utf8_column(batch, text_col)
             tokens = list(map(sum, table.of(texts)))
             yield pa.record_batch([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], schema=out)

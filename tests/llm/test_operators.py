@@ -121,6 +121,19 @@ def test_packing_of_turns(spark, library):
     assert {k: sum(r.loss_tokens for r in rows if r.doc_id == k) for k in loss} == loss
 
 
+def test_all_limits_bind_for_turns_as_examples(spark):
+    rows = queries.instruction_packing(spark, "/root/testdata/sf0.01").collect()
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    sums = [(sum(r.length for r in x), len(x), sum(r.loss_tokens for r in x)) for x in sequences.values()]
+    assert all(a <= 2048 and b <= 24 and c <= 768 for a, b, c in sums)
+    assert any(a == 2048 for a, _, _ in sums) and any(b == 24 for _, b, _ in sums) and any(c == 768 for _, _, c in sums)
+    talk = {(r.conv_id, r.turn): r.role for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect()}
+    assert {(r.conv_id, r.turn) for r in rows} == set(talk)
+    assert all(r.loss_tokens == (r.length if talk[r.conv_id, r.turn] == "assistant" else 0) for r in rows)
+
+
 def test_packing_on_odd_rows(spark, odd):
     rows = packing.pack(odd.where("doc_id <> 4 OR doc_id IS NULL"), PATH, 2).collect()
     assert {r.doc_id: r.doc_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1: 1, 2: 1, 3: 1}
@@ -200,11 +213,102 @@ def test_near_duplicates_on_odd_rows(odd):
     zero = [r for r in rows if r.fingerprint == "0" * 16]
     assert len(rows) == len(ODD) and {r.doc_id for r in zero} == {1, 2, 3} and {r.component_id for r in zero} == {1}
     assert [r.component_id for r in rows if r.doc_id == 4] == [4, 4]
-    kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "4", "5", "6", "7", "None"]
     assert simhash.near_duplicates(odd.where("false")).collect() == []
 
 
+# --- op5 by similarity --------------------------------------------------------------------------------------
+
+
+def plain_sets(texts, width=5):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    return [frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) or frozenset([tuple(w)] if w else []) for w in words]
+
+
+def plain_similar(ids, texts, similarity=0.8):
+    """The least id of each text's component, by comparing all pairs."""
+    sets, root = plain_sets(texts), list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if min(len(a), len(b)) >= similarity * max(len(a), len(b)) and (a == b or len(a & b) >= similarity * len(a | b)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    low = {}
+    for i, k in enumerate(ids):
+        low[find(i)] = min(k, low.get(find(i), k))
+    return [low[find(i)] for i in range(len(ids))]
+
+
+def changed(rng, text, n):
+    words = text.split()
+    for _ in range(n):
+        words[rng.randrange(len(words))] = "w%d" % rng.randrange(10**9)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("shingles", [simhash.SHINGLES, 4000])
+def test_similar_texts(spark, shingles):
+    rng = random.Random(8)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    long = [t for _, t in docs if t and len(t.split()) > 100][:12]
+    more = [changed(rng, t, n) for t in long for n in (0, 1, 2, 3, 5, 8)] + [changed(rng, long[0], 1) for _ in range(60)]
+    docs += [(100_000 + i, t) for i, t in enumerate(more)]
+    got = by_id(simhash.similar(spark.createDataFrame(docs, "doc_id long, text string"), shingles=shingles).collect(), "component_id")
+    expected = plain_similar(*zip(*docs, strict=True))
+    assert [i for (i, _), c in zip(docs, expected, strict=True) if got[i] != (c,)] == []
+    assert sum(c != i for (i, _), c in zip(docs, expected, strict=True)) > 100
+
+
+def test_links_of_similar_texts_in_parts():
+    rng = random.Random(2)
+    base = " ".join("w%d" % rng.randrange(10**6) for _ in range(120))
+    sets = [simhash.shingle_set(changed(rng, base, k % 7).encode(), 5) for k in range(60)]
+    fps = simhash.fingerprints_of(sets)
+    alone = simhash.similar_links(fps, sets, 24, 0.8)
+    assert all(len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) for a, b in alone) and len(set(alone)) == len(alone)
+    side = np.arange(60) % 2
+    assert all(side[a] != side[b] for a, b in simhash.similar_links(fps, sets, 24, 0.8, side))
+
+
+def test_one_of_each(spark, odd):
+    kept = simhash.one_of_each(odd)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "6", "7", "None"]
+    assert simhash.one_of_each(odd.where("false")).collect() == []
+    # repeated rows, an id with several texts, and clashing names
+    t = "one two three four five six seven eight nine ten"
+    rows = [(1, t, "a"), (1, t, "a"), (2, t, "b"), (2, t, "b"), (3, "other words here", "c"), (3, "other words here", "c"), (5, t, "d"), (5, "its own second text", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _later string")
+    df = df.withColumns({"_key": F.lit(1), "_set": F.lit(2), "_bucket": F.lit("x"), "n": F.lit(0), "component_id": F.lit(9), "low": F.lit(None).cast("string")})
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text[:3]) for r in kept.collect()) == [(1, "one"), (3, "oth"), (5, "its")]
+
+
+def test_rows_split_by_keys(spark):
+    from planeweave.llm import common
+
+    rows = spark.range(5000).withColumn("_bits", F.lit(1))
+    asked = spark.range(0, 5000, 7).withColumnRenamed("id", "k")
+    out, rest = common.split_by(rows, asked, 3, F.col("id"))  # far too small a map: more rows count as others
+    got, more = {r.id for r in out.collect()}, {r.id for r in rest.collect()}
+    assert got | more == set(range(5000)) and not got & more and set(range(0, 5000, 7)) <= more
+
+
+def test_joins_of_heavy_and_light_keys(spark, monkeypatch):
+    from planeweave.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", 4)
+    left = spark.range(1000).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2)
+    found = common.join_by(left, right, "k", "n", 1000)
+    assert found.columns == ["k", "id", "v"] and found.count() == 1000 and found.where("v <> 2 * k").count() == 0
+
+
 # --- op2 ----------------------------------------------------------------------------------------------------
 
 
@@ -224,38 +328,74 @@ def test_statistics(docs):
         assert quality.statistics_of(t.encode())[:5] == plain_statistics(t)
 
 
-def plain_estimate(x, steps=quality.STEPS):
-    """The concentration steps of ``quality.fit`` on rows of one pool, in numpy."""
-    grid = np.rint(x * quality.GRID)
-    middle = np.median(grid, axis=0)
-    floor = np.diag(np.square(np.array(quality.FLOORS) * quality.GRID))
-    spread = np.median(np.abs(grid - middle), axis=0)
-    mean, inverse = middle, np.linalg.inv(np.diag((1.4826 * spread) ** 2) + floor)
-    p = x.shape[1]
-    scale = quality.SHARE / quality.chi_square(quality.chi_square_quantile(quality.SHARE, p), p + 2)
-    for _ in range(steps):
-        far = np.floor(np.log2(np.einsum("ij,jk,ik->i", grid - mean, inverse, grid - mean) + 1) * 256)
-        near = grid[far <= np.percentile(far, 100 * quality.SHARE)]
-        mean, inverse = near.mean(axis=0), np.linalg.inv(np.cov(near.T, bias=True) * scale + floor)
-    return np.einsum("ij,jk,ik->i", grid - mean, inverse, grid - mean)
-
-
-def test_verdicts_are_those_of_a_plain_estimate(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("lang", F.lit("one")).withColumn("source", F.lit("one"))
+def plain_distances(x, keys):
+    """Squared distances by a plain search for each key's least determinant, in numpy and without Spark's integer sums."""
+    p, prior, h = x.shape[1], quality.PRIOR_ROWS, quality.SHARE
+    middle = np.rint(np.median(x, axis=0))
+    table = 1.4826 * np.median(np.abs(x - middle), axis=0)
+    table = np.sqrt((len(x) * table**2 + prior * (np.array(quality.USUAL) * quality.GRID) ** 2) / (len(x) + prior))
+    consistent = h / quality.chi_square(quality.chi_square_quantile(h, p), p + 2)
+    out = np.empty(len(x))
+
+    def regular(n, mean, cov):
+        whole = (n * cov + prior * np.diag(table**2) + n * prior / (n + prior) * np.outer(mean, mean)) / (n + prior)
+        return n * mean / (n + prior), whole
+
+    def far(v, mean, cov):
+        return np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(cov), v - mean)
+
+    for key in set(keys):
+        rows = np.array([k == key for k in keys])
+        v, n = x[rows] - middle, int(rows.sum())
+        m = np.median(v, axis=0)
+        own = np.sqrt((n * (1.4826 * np.median(np.abs(v - m), axis=0)) ** 2 + prior * table**2) / (n + prior))
+        z = (v - m) / own
+        norm = np.linalg.norm(z, axis=1, keepdims=True)
+        signs = np.where(norm > 0, z / np.where(norm > 0, norm, 1), 0) * np.sqrt(p)
+        found = []
+        for k, shape in enumerate((np.eye(p), np.cov(np.rint(signs * quality.GRID).T, bias=True) / quality.GRID**2, np.cov(np.rint(np.tanh(z) * quality.GRID).T, bias=True) / quality.GRID**2)):
+            mean, cov = regular(h * n, m, own[:, None] * shape * own)
+            least = None
+            while True:
+                step = np.floor(np.log2(far(v, mean, cov) + 1) * quality.STEPS_AN_OCTAVE)
+                near = v[step <= np.sort(step)[int(np.ceil(h * n)) - 1]]
+                new = regular(h * n, near.mean(axis=0), np.cov(near.T, bias=True).reshape(p, p) * consistent)
+                size = np.linalg.slogdet(new[1])[1]
+                if least is not None and size >= least - 1e-9:
+                    break
+                (mean, cov), least = new, size
+            found.append((least, k, mean, cov))
+        _, _, mean, cov = min(found, key=lambda f: f[:2])
+        out[rows] = far(v, mean, cov)
+    return out
+
+
+@pytest.mark.parametrize("pooled", [False, True])
+def test_verdicts_are_those_of_a_plain_estimate(spark, pooled):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    if pooled:
+        docs = docs.withColumn("lang", F.lit("one")).withColumn("source", F.lit("one"))
     rows = quality.judge(docs).collect()
-    counts = {r.doc_id: quality.statistics_of((r.text or "").encode()) for r in docs.collect()}
+    given = {r.doc_id: r for r in docs.collect()}
     use = [r for r in rows if not r.base_failed]
-    c = np.array([counts[r.doc_id] for r in use], float)
+    c = np.array([quality.statistics_of((given[r.doc_id].text or "").encode()) for r in use], float)
     n = c[:, 0] + quality.PRIOR
-    x = np.stack([np.log((c[:, 1] + 5 * quality.PRIOR) / n), *(c[:, i] / n for i in range(2, 7))], axis=1)
-    far = plain_estimate(x)
-    assert np.allclose(far, [r.distance for r in use], rtol=1e-6, atol=1e-9)
-    beyond = quality.chi_square_quantile(quality.CUTOFF, 6)
+    letters = c[:, 1] + 5 * quality.PRIOR
+    x = np.stack([np.log(letters / n), np.sqrt((c[:, 5] + 0.2 * quality.PRIOR) / letters), np.sqrt((c[:, 6] + 0.08 * quality.PRIOR) / n), np.sqrt((c[:, 7] + 0.006 * quality.PRIOR) / n), np.log(c[:, 8] + 2) / np.log(c[:, 0] + 2)], axis=1)
+    far = plain_distances(np.rint(x * quality.GRID), [(given[r.doc_id].lang, given[r.doc_id].source) for r in use])
+    assert np.allclose(far, [r.distance for r in use], rtol=1e-6, atol=1e-6)
+    beyond = quality.chi_square_quantile(quality.CUTOFF, 5)
     assert [r.kept for r in use] == (far <= beyond).tolist() and not any(r.kept for r in rows if r.base_failed)
+    # the estimates fit the bulk: the middle squared distance is near that of chi-square
+    assert not pooled or 3.5 < np.median(far) < 5.5
     for r in rows:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
 
 
+def test_chi_square():
+    assert [round(quality.chi_square(x, k), 6) for x, k in ((1.0, 1), (4.351460, 5), (2.0, 2), (9.487729, 4), (11.0705, 5))] == [0.682689, 0.5, 0.632121, 0.95, 0.95]
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -503,6 +643,38 @@ def test_mixing_meets_targets(spark):
     assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
 
 
+def test_mixing_of_targets_that_cannot_be_met(spark):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 400)
+    t = rng.integers(1, 500, 400)
+    members = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p, strict=True)], "n_tokens long, posteriors array<double>").repartition(3)
+    for share, total in (((0.9, 0.1, 0.0), 2.0), ((0.0, 0.0, 1.0), 1.0), ((0.4, 0.3, 0.3), 1.0)):
+        weights = dict(zip("abc", share, strict=True))
+        history, report = mixing.solve(members, weights, list("abc"), total * t.sum(), 1.5)
+        gram = (p * t[:, None]).T @ p + mixing.LEAST_SHARE * t.sum() * np.eye(3)
+        target = np.array(share) * total * t.sum()
+
+        def apart(w):
+            off = (w * t) @ p - target
+            return off @ np.linalg.solve(gram, off)
+
+        w = np.ones(400)
+        for _ in range(6000):
+            w = np.clip(w - p @ np.linalg.solve(gram, (w * t) @ p - target), 0, 1.5)
+        got = apart(mixing.rates(p, history, 1.5))
+        assert got <= 1.002 * apart(w) + 1e-6 * t.sum() and np.allclose(report["reached"], (mixing.rates(p, history, 1.5) * t) @ p)
+
+
+def test_classifier_of_a_table_is_that_of_its_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), queries.domains_of(spark.read.parquet(f"{sf}/labels.parquet"))
+    domains = ["clean", "low", "toxic"]
+    texts, chosen = {r.doc_id: (r.text or "").encode() for r in docs.collect()}, mixing.labelled_sample(docs, labels, domains, "doc_id", "text", 150)
+    assert len(chosen) == 150
+    a, b = mixing.fit_on(docs, labels, domains, "doc_id", "text", 150), mixing.fit_classifier([(texts[i], d) for i, d in sorted(chosen)], domains)
+    assert a.place == b.place and np.allclose(a.weights, b.weights) and np.allclose(a.bias, b.bias)
+
+
 def test_bound_of_labelled_rows(spark):
     docs = spark.range(9000).selectExpr("id AS doc_id", "'text ' || id AS text")
     labelled = spark.range(9000).selectExpr("id", "IF(id % 2 = 0, 'a', 'b') AS domain")
