@@ -61,13 +61,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_by(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_by(left: DataFrame, right: DataFrame, key: str, count: str, total: int, keys: int | None = None) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row a key and in ``count`` how many of ``left``'s ``total`` rows have it.
 
     Up to ``HEAVY`` keys are broadcast. Of more, only the heavy ones are, which are no more than that: their rows stay where they
-    are, and the rest is shuffled, of which no key has more than one in ``HEAVY`` rows. ``count`` is left out.
+    are, and the rest is shuffled, of which no key has more than one in ``HEAVY`` rows. ``keys`` is at least the number of ``right``'s
+    rows, where that is known. ``count`` is left out.
     """
-    if right.limit(HEAVY + 1).count() <= HEAVY:
+    if (right.limit(HEAVY + 1).count() if keys is None else keys) <= HEAVY:
         return left.join(F.broadcast(right.drop(count)), key)
     heavy = right.where(F.col(count) * HEAVY > total).drop(count)
     light = right.where(F.col(count) * HEAVY <= total).drop(count)

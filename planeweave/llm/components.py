@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planeweave.llm.common import cut_lineage, join_by
+from planeweave.llm.common import HEAVY, cut_lineage, join_by
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -16,13 +16,13 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _with_least(pairs: DataFrame, total: int) -> DataFrame:
-    """(a, b) with m, the least of a and all its b. The many links of a hub stay where they are: see ``join_by``."""
+    """(a, b) with m, the least of a and all its b; ``total``: rows of ``pairs`` at most. A hub's links stay where they are: see ``join_by``."""
     least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-    return join_by(pairs, cut_lineage(least), "a", "n", total)
+    return join_by(pairs, least if total <= HEAVY else cut_lineage(least), "a", "n", total, total)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in ``edges`` (a, b of one type that has an order); root is the least node that can be reached.
+    """(node, root) of every node in ``edges`` (a, b: long); root is the least node that can be reached.
 
     Steps are taken until the links stay as they are. No neighbourhood is brought together in one task: the least neighbour of
     a node is an aggregate that is joined back, for hubs by broadcast. Nulls, loops and repeats are left out first. A loop is no
@@ -32,10 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut_lineage(e)
     mark = _mark(e)
     while mark[0]:
-        both = cut_lineage(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both, 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut_lineage(large.where("a <> b").distinct())
-        small = _with_least(large, large.count())
+        small = _with_least(large, 2 * mark[0])
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         e = cut_lineage(small.where("a <> b").distinct())
         was, mark = mark, _mark(e)

@@ -194,12 +194,13 @@ def links(classes: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
 
 def _with_component(docs: DataFrame, classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """``docs`` (with ``key``) and component_id, from classes (key, low, n) and what ``components`` found of their links."""
-    linked = classes.join(found.withColumnRenamed("node", key), key).select(key, "low", "n", "root")
+    linked = cut_lineage(classes.join(found.withColumnRenamed("node", key), key).select(key, "low", "root"))
     sizes = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n_keys"))
-    linked = cut_lineage(linked)
-    of_linked = join_by(linked, cut_lineage(sizes), "root", "n_keys", linked.count()).select(key, "component_id")
+    n = linked.count()
+    of_linked = join_by(linked, sizes, "root", "n_keys", n, n).select(key, "component_id")
     of_class = cut_lineage(classes.join(of_linked, key, "left").select(key, "n", F.coalesce("component_id", "low").alias("component_id")))
-    return join_by(docs, of_class, key, "n", docs.count())
+    rows, keys = of_class.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    return join_by(docs, of_class, key, "n", rows, keys)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, block: int = BLOCK) -> DataFrame:
@@ -227,9 +228,9 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def key_of(shingles: np.ndarray) -> bytes:
-    """16 bytes that tell sets of shingles apart."""
-    return xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
+def key_of(shingles: np.ndarray) -> int:
+    """A number that tells sets of shingles apart: among 5e10 texts some seventy pairs of 1e21 share one by chance."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
 
 
 def bands_of(shingles: np.ndarray) -> list[int]:
@@ -284,7 +285,7 @@ def _similar_in_blocks(batches: Iterable[pa.RecordBatch], radius: int, similarit
     def links_of() -> pa.RecordBatch:
         sides = np.array([r[0] for r in held])
         found = similar_links(np.array([r[2] for r in held], np.int64).view(np.uint64), [r[3] for r in held], radius, similarity, None if sides[0] == sides[-1] == -1 else sides)
-        return pa.record_batch({"a": pa.array([held[i][1] for i, _ in found], pa.binary()), "b": pa.array([held[j][1] for _, j in found], pa.binary())})
+        return pa.record_batch({"a": pa.array([held[i][1] for i, _ in found], pa.int64()), "b": pa.array([held[j][1] for _, j in found], pa.int64())})
 
     for batch in batches:
         blocks, sides, keys, fps = (batch.column(i).to_pylist() for i in range(4))
@@ -316,7 +317,7 @@ def _fps(sets: list[np.ndarray]) -> pa.Array:
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = NEAR, shingles: int = SHINGLES) -> DataFrame:
-    """One row for each row of ``df``: id_col, key (16 bytes, alike for texts of the same shingles), component_id.
+    """One row for each row of ``df``: id_col, key (a number, alike for texts of the same shingles), component_id.
 
     Two texts are linked if the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more; component_id is
     the smallest id reachable. At that similarity fingerprints differ in some ten bits, and 25 bit ranges would bring all texts
@@ -330,27 +331,27 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     further columns, whatever their names, are left out.
     """
     bare = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    key, fp, sizes = T.StructField("key", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("size", T.LongType())
+    key, fp, sizes = T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("size", T.LongType())
     bands = T.StructField("bands", T.ArrayType(T.LongType()))
-    met = _keyed(bare, "text", width, [key, sizes, bands], lambda sets: [pa.array(map(key_of, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(bands_of, sets), pa.list_(pa.int64()))])
+    met = _keyed(bare, "text", width, [key, sizes, bands], lambda sets: [pa.array(map(key_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(bands_of, sets), pa.list_(pa.int64()))])
     docs = cut_lineage(met.select("id", "key", "size", "bands"))
     classes = cut_lineage(docs.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    rows = cut_lineage(classes.select("key", F.explode("bands").alias("band")))
+    total = classes.agg(F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()[0]
+    rows = classes.select("key", F.explode("bands").alias("band"))
     first = cut_lineage(rows.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1"))
-    stars = join_by(rows, first, "band", "n", rows.count()).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    # a class without an id can't be asked for by one; its rows are found by the key alone
-    grouped = classes.join(components(stars).withColumnRenamed("node", "key"), "key").select("key", "low", "size", "root")
-    grouped = cut_lineage(grouped)
-    weights = cut_lineage(grouped.groupBy("root").agg(F.count("*").alias("n"), F.ceil(2 * F.sum("size") / F.lit(shingles)).alias("parts")))
+    stars = join_by(rows, first, "band", "n", total).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    grouped = cut_lineage(classes.join(components(stars).withColumnRenamed("node", "key"), "key").select("key", "low", "size", "root"))
     n = grouped.count()
-    wanted = cut_lineage(join_by(grouped, weights, "root", "n", n).select("key", "low", "root", F.when(F.col("parts") > 2, F.col("parts")).otherwise(1).cast("long").alias("parts")))
+    weights = grouped.groupBy("root").agg(F.count("*").alias("n"), F.ceil(2 * F.sum("size") / F.lit(shingles)).alias("parts"))
+    parts = F.when(F.col("parts") > 2, F.col("parts")).otherwise(1).cast("long").alias("parts")
+    wanted = cut_lineage(join_by(grouped, weights, "root", "n", n, n).select("key", "low", "root", parts))
     _, asked = split_by(bare, wanted.select("low"), n, F.col("id"))
-    sets = _keyed(asked, "text", width, [key, fp, T.StructField("shingles", T.ArrayType(T.LongType()))], lambda sets: [pa.array(map(key_of, sets), pa.binary()), _fps(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))])
+    sets = _keyed(asked, "text", width, [key, fp, T.StructField("shingles", T.ArrayType(T.LongType()))], lambda sets: [pa.array(map(key_of, sets), pa.int64()), _fps(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))])
     # of repeated rows each partition sends one
     sets = sets.groupBy("id", "key").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
     joined = sets.join(wanted.withColumnRenamed("low", "id"), ["id", "key"])
     blocks = dealt(joined, ["root"], F.col("parts"), F.col("key")).select("block", "side", "key", "fp", "shingles")
-    found = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _similar_in_blocks(it, radius, similarity), "a binary, b binary")
+    found = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _similar_in_blocks(it, radius, similarity), "a long, b long")
     return _with_component(docs.select("id", "key"), classes.select("key", "low", "n"), components(found), "key").select(F.col("id").alias(id_col), "key", "component_id")
 
 
@@ -362,13 +363,12 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     ``split_by``.
     """
     told = similar(df, id_col, text_col, width, similarity).select(F.col(id_col).alias("id"), "key", "component_id").where("id IS NOT NULL")
-    found = cut_lineage(told.groupBy("id", "key").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")))
-    later = cut_lineage(found.where("component_id < id").select("id", "key"))
-    odd = later.select("id").unionByName(found.where("n > 1").select("id")).distinct()
-    odd = cut_lineage(odd)
-    kept, asked = split_by(df, odd, odd.count(), F.col(f"`{id_col}`").cast("long"))
+    found = told.groupBy("id", "key").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+    odd = cut_lineage(found.where("component_id < id OR n > 1").select("id", "key", (F.col("component_id") < F.col("id")).alias("goes")))
+    later = odd.where("goes").select("id", "key")
+    kept, asked = split_by(df, odd.select("id"), odd.count(), F.col(f"`{id_col}`").cast("long"))
     name = free_name(df, "_key")
-    keyed = _keyed(asked, text_col, width, [T.StructField(name, T.BinaryType())], lambda sets: [pa.array(map(key_of, sets), pa.binary())])
+    keyed = _keyed(asked, text_col, width, [T.StructField(name, T.LongType())], lambda sets: [pa.array(map(key_of, sets), pa.int64())])
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
     one = keyed.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(name).alias("key"), row, F.xxhash64(F.col(f"`{text_col}`")).alias("order"))
     one = one.groupBy("id", "key").agg(F.min_by("row", "order").alias("row")).join(later, ["id", "key"], "left_anti")
