@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 MOST_BYTES, MOST_ROWS = 8 << 20, 2048
 #: A key with more than one in so many rows is heavy. There are at most as many heavy keys, whatever the data, so they can be broadcast.
 HEAVY = 10_000
+#: Checkpoints after which the driver frees what they replaced.
+COLLECT = 6
+_steps = 0
 #: Bits of the map that tells which keys may be dropped: 32 MB at most.
 MOST_BITS = 1 << 28
 
@@ -30,9 +33,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there, so that a lost executor costs no rerun."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and read it from there, so that a lost executor costs no rerun.
+
+    What earlier steps left behind (shuffles, broadcasts, checkpoints, plans) is freed only when the driver collects its garbage, so
+    that is asked for once in ``COLLECT`` steps.
+    """
+    global _steps
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    _steps += 1
+    if _steps % COLLECT == 0:
+        spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def bounded(batches: Iterable[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:

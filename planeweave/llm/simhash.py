@@ -254,12 +254,13 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def similar_links(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among texts: those whose fingerprints lie within ``radius`` and whose sets are alike."""
+    """(i, j) for each text that is linked, directly or by others, to text j, one for all that are: those whose fingerprints lie
+    within ``radius`` and whose sets are alike are."""
     counts = np.bitwise_count(fps)
     order = np.argsort(counts, kind="stable")
     fps, counts = fps[order], counts[order].astype(np.int16)
     side = None if side is None else side[order]
-    root, found = np.arange(len(fps)), []
+    root = np.arange(len(fps))
     for i in range(0, len(fps), TILE):
         top = counts[min(i + TILE, len(fps)) - 1]
         for j in range(i, len(fps), TILE):
@@ -274,8 +275,8 @@ def similar_links(fps: np.ndarray, sets: list[np.ndarray], radius: int, similari
             for a, b in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
                 if root[a] != root[b] and alike(sets[order[a]], sets[order[b]], similarity):
                     root[root == root[b]] = root[a]
-                    found.append((int(order[a]), int(order[b])))
-    return found
+    moved = np.flatnonzero(root != np.arange(len(fps)))
+    return list(zip(order[moved].tolist(), order[root[moved]].tolist(), strict=True))
 
 
 def _similar_in_blocks(batches: Iterable[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:

@@ -268,12 +268,17 @@ def test_similar_texts(spark, shingles):
 def test_links_of_similar_texts_in_parts():
     rng = random.Random(2)
     base = " ".join("w%d" % rng.randrange(10**6) for _ in range(120))
-    sets = [simhash.shingle_set(changed(rng, base, k % 7).encode(), 5) for k in range(60)]
+    texts = [changed(rng, base, k % 7) for k in range(60)]
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
     fps = simhash.fingerprints_of(sets)
-    alone = simhash.similar_links(fps, sets, 24, 0.8)
-    assert all(len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) for a, b in alone) and len(set(alone)) == len(alone)
+    root = dict(simhash.similar_links(fps, sets, 24, 0.8))
+    known = plain_similar(list(range(60)), texts)
+    assert {frozenset(j for j in range(60) if root.get(j, j) == i) for i in range(60) if i not in root} == {frozenset(j for j in range(60) if known[j] == i) for i in set(known)}
+    # of two sides only pairs across them count
     side = np.arange(60) % 2
-    assert all(side[a] != side[b] for a, b in simhash.similar_links(fps, sets, 24, 0.8, side))
+    near = [(i, j) for i in range(60) for j in range(i) if side[i] != side[j] and simhash.alike(sets[i], sets[j], 0.8)]
+    across = dict(simhash.similar_links(fps, sets, 24, 0.8, side))
+    assert near and all(across.get(i, i) == across.get(j, j) for i, j in near)
 
 
 def test_one_of_each(spark, odd):
