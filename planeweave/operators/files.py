@@ -81,18 +81,19 @@ def overridden(lines: Column, overrides: dict[str, str]) -> Column:
 def plan_layout(headers: DataFrame, enabled: str, slices: str, kept: str, on_disk: str, per_slice: str, n_channels: str, n_pages: str) -> DataFrame:
     """``headers`` with the layout of each recording: volumetric, n_slices, frames_per_slice, kept_frames, on_disk_frames,
     pages_per_volume, flyback_frames, n_volumes and why a stack is taken as flat."""
-    c = F.col
-    missing = c(slices).isNull() | c(kept).isNull() | c(on_disk).isNull() | c(per_slice).isNull()
-    stride = c(on_disk) * c(n_channels)
+    c, none = F.col, F.lit(0)
+    missing = (F.coalesce(c(slices), none) == 0) | (F.coalesce(c(kept), none) == 0)
+    # without a count with flyback there is no flyback, and without repeats a slice is taken once
+    disk, fps = F.coalesce(F.nullif(c(on_disk), none), c(kept)), F.greatest(F.coalesce(c(per_slice), F.lit(1)), F.lit(1))
     warning = (
         F.when(missing, "missing")
-        .when((c(kept) > c(on_disk)) | (F.least(c(slices), c(kept), c(on_disk), c(per_slice)) < 1), "inconsistent frames")
-        .when(c(slices) * c(per_slice) != c(kept), "inconsistent slices")
-        .when((c(n_pages) > 0) & (stride > c(n_pages)), "too long")
+        .when((c(kept) < 1) | (c(kept) > disk), "inconsistent frames")
+        .when(c(slices) * fps != c(kept), "inconsistent slices")
+        .when((c(n_pages) > 0) & (disk * c(n_channels) > c(n_pages)), "too long")
     )
-    warning = F.when(c(enabled), warning)
     good = c(enabled) & warning.isNull()
-    one = lambda x: F.when(good, c(x)).otherwise(1).cast("bigint")
-    rows = headers.withColumns({"volumetric": good, "warning": warning, "n_slices": one(slices), "frames_per_slice": one(per_slice), "kept_frames": one(kept), "on_disk_frames": one(on_disk)})
+    warning = F.when(c(enabled), warning).when((c(n_pages) > 0) & (c(n_channels) > c(n_pages)), "too long")
+    one = lambda x: F.when(good, x).otherwise(1).cast("bigint")
+    rows = headers.withColumns({"volumetric": good, "warning": warning, "n_slices": one(c(slices)), "frames_per_slice": one(fps), "kept_frames": one(c(kept)), "on_disk_frames": one(disk)})
     ppv = F.col("on_disk_frames") * c(n_channels)
     return rows.withColumns({"pages_per_volume": ppv.cast("bigint"), "flyback_frames": F.col("on_disk_frames") - F.col("kept_frames"), "n_volumes": F.expr(f"{n_pages} div (on_disk_frames * {n_channels})").cast("bigint")})

@@ -100,11 +100,11 @@ WITH f AS (SELECT event_id AS page_index, event_type, epoch_us(ts) AS ts_us, CAS
  CAST(CASE WHEN event_id % 4 >= 3 THEN -1 ELSE event_id % 4 END AS SMALLINT) AS slice_index,
  first_value(epoch_us(ts)) OVER (PARTITION BY event_id // 4 ORDER BY event_id) AS v FROM events)
 SELECT page_index, event_type, volume_index, slice_index, ts_us + 333 AS time_us, CAST(333 AS BIGINT) AS offset_in_frame_us,
- ts_us + 333 - v AS offset_in_volume_us FROM f WHERE page_index % 5 = 0
+ ts_us + 333 - v AS offset_in_volume_us FROM f
 """)
 def event_context(spark, d):
     frames = sweep.with_volume_time(sweep.with_page_map(clock(spark, d), "page_index", 1, 3, 1, 4), ["volume_index"], "page_index", "ts_us", "v")
-    triggers = clock(spark, d, "event_type").where("page_index % 5 = 0").select("page_index", "event_type", (F.col("ts_us") + 333).alias("time_us"))
+    triggers = clock(spark, d, "event_type").select("page_index", "event_type", (F.col("ts_us") + 333).alias("time_us"))
     rows = sweep.place_events(triggers.join(frames, "page_index"), "time_us", "ts_us", "v")
     return rows.select("page_index", "event_type", "volume_index", "slice_index", "time_us", F.col("offset_in_frame_s").alias("offset_in_frame_us"), F.col("offset_in_volume_s").alias("offset_in_volume_us"))
 
@@ -464,11 +464,11 @@ def payload_matrix(spark, d):
     return rows.select("conv_id", "turn", F.size("padded").alias("width"), F.array_join(F.transform("padded", lambda v: F.lpad(F.hex(v), 2, "0")), "").alias("padded"))
 
 
-@query("SELECT conv_id, turn, role AS text, length(role) > 0 AS decoded FROM conversations WHERE role IS NOT NULL")
+@query("SELECT doc_id, text, length(text) > 0 AS decoded FROM documents WHERE text IS NOT NULL")
 def payload_decode(spark, d):
-    raw = F.transform(F.sequence(F.lit(1), F.octet_length("role")), lambda i: F.conv(F.substring(F.hex("role"), i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
-    rows = table(spark, d, "conversations").where("role IS NOT NULL").select("conv_id", "turn", F.lit("bytes").alias("payload_kind"), F.lit(None).cast("string").alias("text"), raw.alias("data"))
-    return events.decode_payloads(rows).select("conv_id", "turn", "text", "decoded")
+    raw = F.transform(F.regexp_extract_all(F.hex("text"), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.lit("bytes").alias("payload_kind"), F.lit(None).cast("string").alias("text"), raw.alias("data"))
+    return events.decode_payloads(rows).select("doc_id", "text", "decoded")
 
 
 @query("""
@@ -487,19 +487,19 @@ def manifest_counts(spark, d):
 
 
 @query("""
-SELECT u.user_id, t.event_type FROM (SELECT DISTINCT user_id FROM events WHERE event_id < 300) u CROSS JOIN (SELECT DISTINCT event_type FROM events) t
-WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id < 300 AND e.user_id = u.user_id AND e.event_type = t.event_type)
+SELECT u.user_id, t.event_type FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT DISTINCT event_type FROM events) t
+WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = t.event_type)
 """)
 def empty_lines(spark, d):
     e = table(spark, d, "events")
-    return events.missing_lines(e.where("event_id < 300"), ["user_id"], "event_type", e.select("event_type").distinct())
+    return events.missing_lines(e, ["user_id"], "event_type", e.select("event_type").distinct())
 
 
 @query("""
-WITH a AS (SELECT event_type, list(event_id ORDER BY event_id) AS l FROM events WHERE user_id % 10 = 0 GROUP BY 1) SELECT event_type, array_to_string(l[1:10], ',') AS first_pages FROM a
+WITH a AS (SELECT event_type, list(event_id ORDER BY event_id) AS l FROM events GROUP BY 1) SELECT event_type, array_to_string(l[1:10], ',') AS first_pages FROM a
 """)
 def first_affected(spark, d):
-    return qc.first_pages(table(spark, d, "events").where("user_id % 10 = 0"), ["event_type"], "event_id").select("event_type", F.array_join("first_pages", ",").alias("first_pages"))
+    return qc.first_pages(table(spark, d, "events"), ["event_type"], "event_id").select("event_type", F.array_join("first_pages", ",").alias("first_pages"))
 
 
 # --- scalars ------------------------------------------------------------------------------------------------
@@ -567,18 +567,21 @@ def header_override(spark, d):
 
 
 @query("""
-WITH h AS (SELECT n_nationkey, n_nationkey % 4 <> 0 AS enabled, NULLIF(n_nationkey % 5, 4) AS slices, 1 + n_regionkey % 2 AS fps, n_nationkey * 7 AS n_pages, 1 + n_nationkey % 2 AS nch FROM nation),
- k AS (SELECT *, slices * 1 AS kept, slices + 1 AS disk FROM h),
- w AS (SELECT *, CASE WHEN NOT enabled THEN NULL WHEN slices IS NULL THEN 'missing' WHEN kept > disk OR least(slices, kept, disk, fps) < 1 THEN 'inconsistent frames'
-  WHEN slices * fps <> kept THEN 'inconsistent slices' WHEN n_pages > 0 AND disk * nch > n_pages THEN 'too long' END AS warning FROM k),
+WITH h AS (SELECT n_nationkey, n_nationkey % 4 <> 0 AS enabled, NULLIF(n_nationkey % 5, 4) AS slices, NULLIF(n_regionkey % 3, 2) AS fps, n_nationkey * 7 AS n_pages, 1 + n_nationkey % 2 AS nch FROM nation),
+ k AS (SELECT *, slices AS kept, CASE WHEN n_nationkey % 3 <> 0 THEN slices + n_nationkey % 7 - 1 END AS given FROM h),
+ f AS (SELECT *, CASE WHEN given IS NULL OR given = 0 THEN kept ELSE given END AS disk, greatest(coalesce(fps, 1), 1) AS each FROM k),
+ w AS (SELECT *, CASE WHEN NOT enabled THEN CASE WHEN n_pages > 0 AND nch > n_pages THEN 'too long' END WHEN coalesce(slices, 0) = 0 OR coalesce(kept, 0) = 0 THEN 'missing'
+  WHEN kept < 1 OR kept > disk THEN 'inconsistent frames' WHEN slices * each <> kept THEN 'inconsistent slices' WHEN n_pages > 0 AND disk * nch > n_pages THEN 'too long' END AS warning FROM f),
  g AS (SELECT *, enabled AND warning IS NULL AS v FROM w)
 SELECT n_nationkey, v AS volumetric, warning, CAST(CASE WHEN v THEN slices ELSE 1 END AS BIGINT) AS n_slices, CAST((CASE WHEN v THEN disk ELSE 1 END) * nch AS BIGINT) AS pages_per_volume,
  CAST((CASE WHEN v THEN disk - kept ELSE 0 END) AS BIGINT) AS flyback_frames, CAST(n_pages // ((CASE WHEN v THEN disk ELSE 1 END) * nch) AS BIGINT) AS n_volumes FROM g
 """)
 def geometry_plan(spark, d):
+    """Stacks with counts missing one by one, and such as contradict each other."""
     k = F.col("n_nationkey")
     s = F.nullif(k % 5, F.lit(4))
-    rows = table(spark, d, "nation").select("n_nationkey", (k % 4 != 0).alias("enabled"), s.alias("slices"), s.alias("kept"), (s + 1).alias("disk"), (1 + F.col("n_regionkey") % 2).alias("fps"), (1 + k % 2).alias("nch"), (k * 7).alias("n_pages"))
+    disk, fps = F.when(k % 3 != 0, s + k % 7 - 1), F.nullif(F.col("n_regionkey") % 3, F.lit(2))
+    rows = table(spark, d, "nation").select("n_nationkey", (k % 4 != 0).alias("enabled"), s.alias("slices"), s.alias("kept"), disk.alias("disk"), fps.alias("fps"), (1 + k % 2).alias("nch"), (k * 7).alias("n_pages"))
     return files.plan_layout(rows, "enabled", "slices", "kept", "disk", "fps", "nch", "n_pages").select("n_nationkey", "volumetric", "warning", "n_slices", "pages_per_volume", "flyback_frames", "n_volumes")
 
 
@@ -750,3 +753,96 @@ def qc_report(spark, d):
         out = out.unionByName(f)
     return out.select(F.col("recording_id").alias("user_id"), "level", "code", "n")
 
+
+def _findings(found: DataFrame) -> DataFrame:
+    return found.select(F.col("recording_id").alias("user_id"), "level", "code", "n")
+
+
+def _recordings(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return clock(spark, d, "user_id", "value", *more).withColumn("recording_id", F.col("user_id"))
+
+
+@query("SELECT user_id, 'warning' AS level, 'frame_number_missing' AS code, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1")
+def qc_frame_number_missing(spark, d):
+    rows = _recordings(spark, d).withColumn("number", F.when(F.col("page_index") % 3 == 0, -1).otherwise(F.col("page_index")))
+    return _findings(qc.frame_number_missing(rows, ["recording_id"], "number"))
+
+
+@query("""
+WITH k AS (SELECT user_id, event_id // 7 AS number, count(*) AS c FROM events GROUP BY 1, 2)
+SELECT user_id, 'warning' AS level, 'frame_number_repeats' AS code, count(*) AS n FROM k WHERE c <> 2 GROUP BY 1
+""")
+def qc_frame_number_repeats(spark, d):
+    rows = _recordings(spark, d).withColumn("number", F.expr("page_index div 7"))
+    return _findings(qc.frame_number_repeats(rows, ["recording_id"], "number", 2))
+
+
+@query("SELECT user_id, 'warning' AS level, 'timestamp_unreadable' AS code, count(*) AS n FROM events WHERE event_id % 50 = 0 GROUP BY 1")
+def qc_timestamp_unreadable(spark, d):
+    rows = _recordings(spark, d).withColumn("t", F.when(F.col("page_index") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("ts_us").cast("double")))
+    return _findings(qc.timestamp_unreadable(rows, ["recording_id"], "t"))
+
+
+@query("SELECT user_id, 'error' AS level, 'timestamp_negative' AS code, count(*) AS n FROM events WHERE event_id % 40 = 1 GROUP BY 1")
+def qc_timestamp_negative(spark, d):
+    rows = _recordings(spark, d).withColumn("t", F.when(F.col("page_index") % 40 == 1, F.lit(-1.0)).otherwise(F.col("ts_us").cast("double")))
+    return _findings(qc.timestamp_negative(rows, ["recording_id"], "t"))
+
+
+@query("""
+WITH s AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events)
+SELECT user_id, 'error' AS level, 'timestamp_not_monotonic' AS code, count(*) AS n FROM s WHERE s <= 0 GROUP BY 1
+""")
+def qc_timestamp_not_monotonic(spark, d):
+    return _findings(qc.timestamp_not_monotonic(_recordings(spark, d), ["recording_id"], "page_index", "value"))
+
+
+@query("SELECT user_id, 'info' AS level, 'no_end_of_acquisition' AS code, CAST(0 AS BIGINT) AS n FROM events GROUP BY 1 HAVING count(*) FILTER (event_id % 11 = 0) = 0")
+def qc_no_end_of_acquisition(spark, d):
+    rows = _recordings(spark, d).withColumn("end", F.when(F.col("page_index") % 11 == 0, 1).otherwise(0))
+    return _findings(qc.no_end_of_acquisition(rows, ["recording_id"], "end"))
+
+
+@query("SELECT user_id, 'warning' AS level, 'dc_over_voltage' AS code, count(*) AS n FROM events WHERE event_id % 13 = 0 GROUP BY 1")
+def qc_dc_over_voltage(spark, d):
+    rows = _recordings(spark, d).withColumn("over", F.when(F.col("page_index") % 13 == 0, 1).otherwise(0))
+    return _findings(qc.dc_over_voltage(rows, ["recording_id"], "over"))
+
+
+@query("SELECT user_id, 'warning' AS level, 'aux_negative_timestamp' AS code, count(*) AS n FROM events WHERE value < 20 GROUP BY 1")
+def qc_aux_negative_timestamp(spark, d):
+    return _findings(qc.aux_negative_timestamp(_recordings(spark, d).withColumn("t", F.col("value") - 20), ["recording_id"], "t"))
+
+
+@query("SELECT user_id, 'warning' AS level, 'i2c_invalid_timestamp' AS code, count(*) AS n FROM events WHERE event_id % 9 < 2 GROUP BY 1")
+def qc_i2c_invalid_timestamp(spark, d):
+    k = F.col("page_index") % 9
+    rows = _recordings(spark, d).withColumn("t", F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(-1.0)).otherwise(F.col("ts_us").cast("double")))
+    return _findings(qc.i2c_invalid_timestamp(rows, ["recording_id"], "t"))
+
+
+@query(f"""
+WITH s AS (SELECT user_id % 7 AS g, {CUT} AS n, count(*) AS c FROM events GROUP BY 1, 2), m AS (SELECT g, max(n) AS m FROM s GROUP BY 1)
+SELECT s.g AS user_id, CASE WHEN max(len(list_filter({NAMES}[n + 1:m], lambda x: x IN ('auxTrigger0', 'I2CData')))) > 0 THEN 'error' ELSE 'warning' END AS level, 'truncated_page_header' AS code, CAST(sum(c) AS BIGINT) AS n
+FROM s JOIN m ON s.g = m.g WHERE n < m GROUP BY 1
+""")
+def qc_truncated_page_header(spark, d):
+    rows = headers(spark, d, cut=True).withColumn("recording_id", F.col("user_id") % 7)
+    counts = sweep.signature_counts(sweep.signatures(rows, "text", "page_index", ["recording_id"]), "page_index", ["recording_id"])
+    return _findings(qc.truncated_page_header(counts, ["recording_id"]))
+
+
+@query("""
+SELECT user_id % 7 AS user_id, 'warning' AS level, 'page_header_drift' AS code, count(DISTINCT user_id % 3) AS n FROM events WHERE user_id % 4 = 1 GROUP BY 1 HAVING count(DISTINCT user_id % 3) > 1
+""")
+def qc_page_header_drift(spark, d):
+    """Sets of keys that differ in a key at their ends; the plain one is a beginning of the first of them."""
+    rows = headers(spark, d, extra=True).withColumn("recording_id", F.col("user_id") % 7)
+    counts = sweep.signature_counts(sweep.signatures(rows, "text", "page_index", ["recording_id"]), "page_index", ["recording_id"])
+    return _findings(qc.page_header_drift(counts, ["recording_id"]))
+
+
+@query("SELECT user_id % 7 AS user_id, 'info' AS level, 'unknown_page_keys' AS code, count(DISTINCT user_id % 3) AS n FROM events WHERE user_id % 4 = 1 GROUP BY 1")
+def qc_unknown_page_keys(spark, d):
+    rows = headers(spark, d, extra=True).withColumn("recording_id", F.col("user_id") % 7)
+    return _findings(qc.unknown_page_keys(sweep.unknown_keys(rows, "text", "page_index", ["recording_id"]), ["recording_id"]))

@@ -24,9 +24,9 @@ RECORDING = "recording_id"
 def split_name(path: str) -> tuple[str, int | None, int | None]:
     """(base, acquisition, file index) of a file name, as ``parse.filename_parts`` gives them for columns."""
     stem = Path(path).stem
-    if m := re.fullmatch(r"(.*?)_(\d+)_(\d+)", stem):
+    if m := re.fullmatch(r"(.+?)_(\d+)_(\d+)", stem):
         return m[1], int(m[2]), int(m[3])
-    if m := re.fullmatch(r"(.*?)_(\d+)", stem):
+    if m := re.fullmatch(r"(.+?)_(\d+)", stem):
         return m[1], int(m[2]), None
     return stem, None, None
 
