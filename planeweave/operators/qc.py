@@ -60,8 +60,7 @@ def frame_number_repeats(df: DataFrame, by: Sequence[str], number: str, n_channe
 
 def frame_number_gaps(df: DataFrame, by: Sequence[str], number: str) -> DataFrame:
     known = df.where(F.col(number) >= 0).select(*by, number).distinct()
-    w = Window.partitionBy(*by).orderBy(number)
-    holes = known.withColumn("d", F.lead(number).over(w) - F.col(number)).where("d > 1")
+    holes = timeline.ordered_steps(known, by, number, number, "d").where("d > 1")
     groups = holes.groupBy(*by).agg(F.count("*").alias("gaps"), F.sum(F.col("d") - 1).alias("n"))
     return finding(groups, by, "error", "frame_number_gaps", "n", _said("frame numbers are missing"), {"n_gaps": F.col("gaps")})
 
@@ -76,7 +75,7 @@ def timestamp_negative(df: DataFrame, by: Sequence[str], time: str) -> DataFrame
 
 def _steps(df: DataFrame, by: Sequence[str], order: str, time: str) -> DataFrame:
     rows = df.where(parse.is_finite(F.col(time).cast("double")))
-    return rows.select(*by, (F.col(time) - F.lag(time).over(Window.partitionBy(*by).orderBy(order))).alias("interval")).where("interval IS NOT NULL")
+    return timeline.ordered_steps(rows.select(*by, order, time), by, order, time).select(*by, "interval").where("interval IS NOT NULL")
 
 
 def timestamp_not_monotonic(df: DataFrame, by: Sequence[str], order: str, time: str) -> DataFrame:

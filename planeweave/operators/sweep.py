@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planeweave.functions import layout, parse
+from planeweave.operators import timeline
 from planeweave.schema import EVENT_KEYS, PAGE_KEYS
 
 
@@ -59,9 +60,10 @@ def frames(pages: DataFrame, n_channels, kept, per_slice, on_disk, by: Sequence[
     taken to begin at page_index.
     """
     local = "file_page_index" if "file_page_index" in pages.columns else "page_index"
-    e = F.col("_entries")
-    value = lambda key: parse.lookup(e, key)
     rows = pages.withColumn("_entries", parse.description(F.col("description")))
+    # later entries count, so these are searched from the end
+    rows = rows.withColumns({"_keys": F.reverse(F.transform("_entries", lambda x: x["k"])), "_values": F.reverse(F.transform("_entries", lambda x: x["v"]))})
+    value = lambda key: F.try_element_at("_values", F.nullif(F.array_position("_keys", key), F.lit(0)).cast("int"))
     rows = with_page_map(rows, local, n_channels, kept, per_slice, on_disk)
     ints = {"frameNumbers": "bigint", "acquisitionNumbers": "int", "frameNumberAcquisition": "bigint", "endOfAcquisition": "tinyint", "endOfAcquisitionMode": "tinyint", "dcOverVoltage": "tinyint"}
     made = {PAGE_KEYS[k]: parse.to_int(value(k), -1, t) for k, t in ints.items()}
@@ -73,9 +75,15 @@ def frames(pages: DataFrame, n_channels, kept, per_slice, on_disk, by: Sequence[
         rows = rows.withColumn("file_index", F.lit(0))
     rows = rows.withColumn("file_index", F.col("file_index").cast("smallint"))
     volume = [*by, "file_index", "volume_index"]
+    if n_channels == on_disk == 1 and isinstance(on_disk, int):  # every page is a volume of its own
+        rows = rows.withColumn("volume_timestamp_s", F.col("frame_timestamp_s"))
+        return rows.select(*_frame_columns(by), *(["_entries"] if keep_entries else []))
     starts = volume_starts(rows, volume, "page_index", "frame_timestamp_s", "volume_timestamp_s")
-    order = [*by, "page_index", *(c for c in PAGE_KEYS.values() if c), "channel", "slice_index", "frame_repeat_index", "volume_index", "volume_timestamp_s", "is_flyback", "n_aux0", "n_aux1", "n_aux2", "n_aux3", "n_i2c", "file_index"]
-    return rows.join(starts, volume).select(*order, *(["_entries"] if keep_entries else []))
+    return rows.join(starts, volume).select(*_frame_columns(by), *(["_entries"] if keep_entries else []))
+
+
+def _frame_columns(by: Sequence[str]) -> list[str]:
+    return [*by, "page_index", *(c for c in PAGE_KEYS.values() if c), "channel", "slice_index", "frame_repeat_index", "volume_index", "volume_timestamp_s", "is_flyback", "n_aux0", "n_aux1", "n_aux2", "n_aux3", "n_i2c", "file_index"]
 
 
 def context() -> list[Column]:
@@ -116,14 +124,9 @@ def signatures(df: DataFrame, text: str, page: str, by: Sequence[str] = ()) -> D
 def signature_counts(sigs: DataFrame, page: str, by: Sequence[str] = ()) -> DataFrame:
     """A row for each signature: pages, its first page, and its number by first appearance."""
     found = sigs.groupBy(*by, "signature").agg(F.count("*").alias("n_pages"), F.min(page).alias("first_page"))
-    earlier = found.alias("e")
-    here = found.alias("h")
-    same = F.col("e.first_page") < F.col("h.first_page")
-    for b in by:
-        same = same & F.col(f"e.{b}").eqNullSafe(F.col(f"h.{b}"))
-    # signatures are few, and rank by a count of those before needs no single-partition sort
-    ids = here.join(earlier, same, "left").groupBy(*(F.col(f"h.{c}").alias(c) for c in found.columns)).agg(F.count("e.first_page").cast("int").alias("signature_id"))
-    return ids
+    # no two begin on one page
+    numbered = timeline.running_count(found, by, ["first_page"], "signature_id") if by else timeline.running_count(found.withColumn("_one", F.lit(1)), ["_one"], ["first_page"], "signature_id").drop("_one")
+    return numbered.select(*found.columns, (F.col("signature_id") - 1).cast("int").alias("signature_id"))
 
 
 def reference_signature(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -37,9 +37,9 @@ def repeats(df: DataFrame, keys: Sequence[str], expected: Column | int = 1) -> D
 
 
 def order_checks(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
-    """By group: rows that do not rise, rows that fall, and whether any falls."""
+    """By group: rows that do not rise, rows that fall, and whether any falls. Rows without ``order`` are left out."""
     d = F.col("_d")
-    rows = df.withColumn("_d", F.col(value) - F.lag(value).over(Window.partitionBy(*by).orderBy(order)))
+    rows = ordered_steps(df.select(*by, order, value), by, order, value, "_d")
     return rows.groupBy(*by).agg(F.count_if(d <= 0).alias("n_not_rising"), F.count_if(d < 0).alias("n_falling"), F.coalesce(F.bool_or(d < 0), F.lit(False)).alias("any_falling"))
 
 
@@ -93,3 +93,15 @@ def running_count(df: DataFrame, by: Sequence[str], order: Sequence[str], name:
     before = counts.select(*by, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
     return rows.withColumn("_place", place).join(before, [*by, "_b"]).withColumn(name, (F.col("_place") + F.col("_before")).cast("bigint")).drop("_place", "_before", "_b")
+
+
+def ordered_steps(df: DataFrame, by: Sequence[str], order: str, value: str, name: str = "interval", size: int = BUCKET) -> DataFrame:
+    """``df`` with the step of ``value`` from the row before in the order of the numbers ``order``, by groups of any size; the first of a
+    group has none. Blocks of rows are windowed each for itself and look to the last row of the block before."""
+    rows = blocked(df.where(F.col(order).isNotNull()), by, order, size)
+    ends = rows.groupBy(*by, "_b").agg(F.max_by(F.struct(F.col(value)), F.col(order))[value].alias("_last"))
+    before = ends.select(*by, "_b", F.lag("_last").over(Window.partitionBy(*by).orderBy("_b")).alias("_before"))
+    w = Window.partitionBy(*by, "_b").orderBy(order)
+    inside = rows.withColumns({"_lag": F.lag(value).over(w), "_n": F.row_number().over(w)})
+    at = F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_lag"))
+    return inside.join(before, [*by, "_b"]).withColumn(name, F.col(value) - at).drop("_lag", "_n", "_before", "_b")

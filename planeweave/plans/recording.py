@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -62,6 +63,17 @@ def find_acquisition_files(path: str) -> tuple[list[str], list[str]]:
     return kept or [path], warnings
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df``, written once to the shared checkpoint folder and read from there; in local mode alone the folder may be our own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="planeweave-"))
+    return df.checkpoint()
+
+
 @dataclass
 class Recording:
     """Lazy tables ``frames``, ``aux`` and ``i2c``, with the header and layout of the first file."""
@@ -175,9 +187,11 @@ class Recording:
         out = self.spark.createDataFrame([(self.name, level, code, text, 1, {}) for level, code, text in said], schema)
         if not self.n_pages:
             return qc.in_order(out)
-        frames, aux, i2c = named(self.frames), named(self.aux), named(self.i2c)
-        first = sweep.first_channel(frames, "channel", by)
-        counts = sweep.signature_counts(sweep.signatures(named(self.pages), "description", "page_index", by), "page_index", by)
+        # pages are swept once for all findings
+        framed = written(named(self._framed))
+        frames, aux, i2c = framed.drop("_entries"), written(named(sweep.aux_events(framed))), written(named(sweep.i2c_events(framed)))
+        first = written(sweep.first_channel(frames, "channel", by).select(*by, "page_index", "frame_timestamp_s"))
+        counts = written(sweep.signature_counts(sweep.signatures(named(self.pages), "description", "page_index", by), "page_index", by))
         line = [*by, "aux_line"]
         found = [
             qc.frame_number_missing(frames, by, "frame_number"), qc.frame_number_repeats(frames, by, "frame_number", g.n_channels), qc.frame_number_gaps(frames, by, "frame_number"),

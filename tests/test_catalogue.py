@@ -52,3 +52,11 @@ def test_no_sort_in_one_task(spark):
     """A recording's intervals are an equi-join, not a window over all of it."""
     plan = catalogue.queries()["frame_intervals"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("name", ["monotonic_check", "qc_report", "qc_timestamp_not_monotonic"])
+def test_windows_are_on_blocks(spark, name):
+    """No window sorts a whole recording: those that are not over the ends of blocks are partitioned by block as well."""
+    plan = catalogue.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.split("\n") if "Window [" in x]
+    assert windows and all("_b#" in x for x in windows) and "SinglePartition" not in plan
