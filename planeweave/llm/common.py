@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text, and rows, that a worker turns into Python values at once; a longer text comes alone.
-MOST_BYTES, MOST_ROWS = 8 << 20, 2048
+MOST_BYTES, MOST_ROWS = 2 << 20, 1024
 #: A key with more than one in so many rows is heavy. There are at most as many heavy keys, whatever the data, so they can be broadcast.
 HEAVY = 10_000
 #: Checkpoints after which the driver frees what they replaced.

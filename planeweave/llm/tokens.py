@@ -35,7 +35,7 @@ FREQUENT = 16_384
 #: Longer chunks are encoded each time and kept in neither tier.
 LONGEST = 64
 #: Entries of a worker's table before the later half of its second tier goes.
-CACHE = 150_000
+CACHE = 400_000
 #: Texts whose chunks are looked up together.
 TOGETHER = 256
 #: Chunks joined in one string for the library.
