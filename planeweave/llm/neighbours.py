@@ -5,11 +5,16 @@ least distance. Centroids come from balanced bisection of a bounded sample (``SA
 first) and are searched by a neighbourhood graph held in memory. Every vector is put in the list of its nearest centroid, and
 near a boundary in up to ``REPLICAS`` lists: those within ``1 + BOUNDARY`` of the least distance that no chosen centroid
 stands before. A query reads the lists whose centroids lie within a ratio of its least distance; the ratio
-is found on the sample, as the least with which ``AIM`` of the true neighbours of sample queries lie in lists that are read.
+is found on the sample, as the least with which ``AIM`` of the true neighbours of sample queries lie in lists that are read. It
+reads its nearest lists in any case until they hold ``REPLICAS`` times as many entries as a result can show, so that it finds as many as there are.
+
+Lists that follow each other in the bisection, and so lie near each other, are shelved together, ``SHARD`` entries or so a shelf: a
+vector is sent to a shelf once with the numbers of its lists there. In a shelf, a query is scored against the entries of its own
+lists only.
 
 Equal vectors are one entry with their smallest ids, as many as a result can show, so copies make no list
-longer. A list of more than ``SHARD`` entries, or queries, is dealt out in parts. Scores are computed on the original
-vectors in double precision.
+longer. A shelf of more than ``SHARD`` entries, or queries, is dealt out in parts. Scores are computed on the original
+vectors in double precision, term by term from the first, so that equal products tie whichever shelf they come from.
 """
 
 from __future__ import annotations
@@ -31,8 +36,8 @@ REPLICAS, BOUNDARY, DEGREE, BEAM = 4, 0.08, 16, 24
 AIM, TRIALS = 0.97, 256
 #: Distances computed at once.
 PAIRS = 16_384
-#: A query reads so many lists at least; all, if there are not so many times the vectors that a result can show.
-LEAST_LISTS, READ_ALL = 4, 20
+#: Queries scored at once in a shelf, and how far a blocked product may lie from one summed in order, against the lengths of its vectors.
+SCORED, ROUNDING = 256, 1e-12
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,51 +183,89 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     plain = _matrix(entries.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow().column(0), size)
     n_lists = max(1, min(MOST_LISTS, len(plain) // 4, round(n**0.5)))
     graph = Graph.build(bisect(longer(plain, most), n_lists, rng), rng)
-    # few vectors are all read, so that every query finds as many as there are
-    ratio = fit_ratio(graph, plain, most, k, rng) if n > READ_ALL * show else np.inf
+    ratio = fit_ratio(graph, plain, most, k, rng)
+    together = max(1, SHARD * n_lists // (2 * n))
     shared = spark.sparkContext.broadcast(graph)
 
-    def dealt(batches: Iterable[pa.RecordBatch], query: bool) -> Iterator[pa.RecordBatch]:
+    def chosen(x: np.ndarray, held: np.ndarray) -> list[np.ndarray]:
+        """The lists that each query reads; ``held`` is how many entries each list has."""
+        x = np.concatenate([x, np.zeros((len(x), 1))], axis=1)
+        out = []
+        for one, d in zip(x, shared.value.search(x, ratio), strict=True):
+            within = np.flatnonzero(np.isfinite(d) & (d <= (1 + ratio) ** 2 * d.min()))
+            if held[within].sum() < REPLICAS * show:  # an entry is in so many lists at most
+                order = np.argsort(squared(one[None], shared.value.centroids)[0], kind="stable")
+                within = np.union1d(within, order[: int(np.searchsorted(np.cumsum(held[order]), REPLICAS * show)) + 1])
+            out.append(within)
+        return out
+
+    def dealt(batches: Iterable[pa.RecordBatch], held: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 x = _matrix(part.column(1), size)
-                if query:
-                    d = shared.value.search(np.concatenate([x, np.zeros((len(x), 1))], axis=1), ratio)
-                    near = np.argsort(d, axis=1, kind="stable")[:, :LEAST_LISTS]
-                    lists = [np.union1d(np.flatnonzero(np.isfinite(row) & (row <= (1 + ratio) ** 2 * row.min())), first[np.isfinite(row[first])]) for row, first in zip(d, near, strict=True)]
-                else:
-                    lists = shared.value.lists_of(longer(x, most))
-                at = np.repeat(np.arange(len(x)), [len(u) for u in lists])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int64)), *(c.take(pa.array(at)) for c in part.columns)], ["list", *part.schema.names])
-
-    lists = entries.mapInArrow(lambda it: dealt(it, False), "list long, rep long, v array<double>, ids array<bigint>")
+                lists = shared.value.lists_of(longer(x, most)) if held is None else chosen(x, held)
+                at, shelves, numbers = [], [], []
+                for j, u in enumerate(lists):
+                    u = np.sort(u)
+                    for mine in np.split(u, np.flatnonzero(np.diff(u // together)) + 1):
+                        at.append(j)
+                        shelves.append(int(mine[0]) // together)
+                        numbers.append(mine.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(shelves, pa.int64()), pa.array(numbers, pa.list_(pa.int64())), *(c.take(pa.array(at)) for c in part.columns)], ["shelf", "lists", *part.schema.names])
+
+    lists = cut_lineage(entries.mapInArrow(lambda it: dealt(it, None), "shelf long, lists array<bigint>, rep long, v array<double>, ids array<bigint>"))
+    # a row a list, MOST_LISTS at most
+    lengths = np.zeros(len(graph.centroids), np.int64)
+    for r in lists.select(F.explode("lists").alias("list")).groupBy("list").count().collect():
+        lengths[r["list"]] = r["count"]
     queries = entries.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
-    probes = queries.mapInArrow(lambda it: dealt(it, True), "list long, rep long, v array<double>")
-    lists, probes = cut_lineage(lists), cut_lineage(probes)
-    parts = lists.groupBy("list").agg(F.ceil(F.count("*") / SHARD).alias("parts")).join(probes.groupBy("list").agg(F.ceil(F.count("*") / SHARD).alias("q_parts")), "list")
-    # every part of a list meets every part of its queries
-    put = lists.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("rep"), "parts")).withColumn("q_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1)))
-    ask = probes.join(parts, "list").withColumn("q_part", F.pmod(F.xxhash64("rep"), "q_parts")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    probes = cut_lineage(queries.mapInArrow(lambda it: dealt(it, lengths), "shelf long, lists array<bigint>, rep long, v array<double>"))
+    parts = lists.groupBy("shelf").agg(F.ceil(F.count("*") / SHARD).alias("parts")).join(probes.groupBy("shelf").agg(F.ceil(F.count("*") / SHARD).alias("q_parts")), "shelf")
+    # every part of a shelf meets every part of its queries
+    put = lists.join(parts, "shelf").withColumn("part", F.pmod(F.xxhash64("rep"), "parts")).withColumn("q_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1)))
+    ask = probes.join(parts, "shelf").withColumn("q_part", F.pmod(F.xxhash64("rep"), "q_parts")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
 
     def compared(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            reps, ids = left["rep"].to_numpy(), left["ids"].to_pylist()
+            reps, ids = left["rep"].to_numpy(), left["ids"].combine_chunks()
             x, y = _matrix(left["v"], size), _matrix(right["v"], size)
-            for i in range(0, len(y), 512):
-                score = y[i : i + 512] @ x.T
-                for q, row in zip(right["rep"].to_numpy()[i : i + 512].tolist(), score, strict=True):
-                    if len(row) > show:
-                        near = np.flatnonzero(row >= np.partition(row, len(row) - show)[len(row) - show])
-                    else:
-                        near = np.arange(len(row))
-                    near = near[np.lexsort((reps[near], -row[near]))][:show]
-                    out.append((q, reps[near].tolist(), row[near].tolist(), [ids[j] for j in near]))
+            first = int(left["shelf"][0].as_py()) * together
+            # the lists of each entry, filled up with one that none reads
+            own = np.full((len(x), REPLICAS), together)
+            for i, u in enumerate(left["lists"].to_pylist()):
+                own[i, : len(u)] = np.array(u) - first
+            asked_lists = right["lists"].to_pylist()
+            q_reps = right["rep"].to_numpy()
+            longest = np.sqrt((x * x).sum(axis=1).max())
+            for i in range(0, len(y), SCORED):
+                block = y[i : i + SCORED]
+                reads = np.zeros((len(block), together + 1), bool)
+                for j, u in enumerate(asked_lists[i : i + SCORED]):
+                    reads[j, np.array(u) - first] = True
+                score = block @ x.T
+                mine = reads[:, own[:, 0]]
+                for r in range(1, REPLICAS):
+                    mine |= reads[:, own[:, r]]
+                score[~mine] = -np.inf
+                least = np.partition(score, len(x) - show, axis=1)[:, len(x) - show] if len(x) > show else np.full(len(block), -np.inf)
+                slack = ROUNDING * longest * np.sqrt((block * block).sum(axis=1))
+                q, e = np.nonzero((score >= (least - slack)[:, None]) & np.isfinite(score))
+                total = np.zeros(len(q))
+                for d in range(size):
+                    total += block[q, d] * x[e, d]
+                order = np.lexsort((reps[e], -total, q))
+                q, e, total = q[order], e[order], total[order]
+                ends = np.searchsorted(q, np.arange(len(block) + 1))
+                for j in np.unique(q):
+                    rows = slice(ends[j], min(ends[j + 1], ends[j] + show))
+                    out.append((int(q_reps[i + j]), reps[e[rows]].tolist(), total[rows].tolist(), ids.take(pa.array(e[rows])).to_pylist()))
         q, r, s, m = zip(*out, strict=True) if out else ([], [], [], [])
         return pa.table({"q": pa.array(q, pa.int64()), "reps": pa.array(r, pa.list_(pa.int64())), "scores": pa.array(s, pa.list_(pa.float64())), "ids": pa.array(m, pa.list_(pa.list_(pa.int64())))})
 
-    near = put.select("list", "part", "q_part", "rep", "v", "ids").groupBy("list", "part", "q_part").cogroup(ask.select("list", "part", "q_part", "rep", "v").groupBy("list", "part", "q_part"))
+    cut = ("shelf", "part", "q_part")
+    near = put.select(*cut, "lists", "rep", "v", "ids").groupBy(*cut).cogroup(ask.select(*cut, "lists", "rep", "v").groupBy(*cut))
     near = near.applyInArrow(compared, "q long, reps array<bigint>, scores array<double>, ids array<array<bigint>>")
 
     def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
