@@ -32,10 +32,10 @@ BLOCK = 4096
 TILE = 256
 #: Texts whose shingles are counted together.
 GROUP = 128
-#: Minima in a band, and bands, by which texts of a similarity of 0.8 meet: 0.9998 of them in one band at least.
-ROWS, BANDS = 4, 16
-#: Bits in which the fingerprints of texts of that similarity may differ: 10 on average, more than 24 for one in a million.
-NEAR = 24
+#: Minima in a band, and bands, by which texts of a similarity of 0.8 meet: all but three in a million of them in one band at least.
+ROWS, BANDS = 4, 24
+#: Bits in which the fingerprints of texts of that similarity may differ: 10 on average; of the shortest texts, 12, and more than 28 for one in a million.
+NEAR = 28
 #: Shingles of the texts compared with each other in one task, about; of a longer text, all.
 SHINGLES = 1 << 21
 _LANES = np.uint64(0x0101010101010101)
