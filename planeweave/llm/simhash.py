@@ -38,6 +38,8 @@ ROWS, BANDS = 4, 24
 NEAR = 28
 #: Shingles of the texts compared with each other in one task, about; of a longer text, all.
 SHINGLES = 1 << 21
+#: Members of a set that are looked up in a tile at once.
+MEMBERS = 4096
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -253,6 +255,32 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
+class _Tile:
+    """Sets of a tile by their members, so that one set is held against all of them at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        rows = np.repeat(np.arange(self.n), [len(x) for x in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        self.rows, values = rows[order], values[order]
+        self.starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+        self.values, self.ends = values[self.starts], np.append(self.starts[1:], len(values))
+
+    def shared(self, one: np.ndarray) -> np.ndarray:
+        """How many members each set has in common with ``one``, an ordered set."""
+        out = np.zeros(self.n, np.int64)
+        if not len(self.values):
+            return out
+        at = np.minimum(np.searchsorted(self.values, one), len(self.values) - 1)
+        at = at[self.values[at] == one]
+        for i in range(0, len(at), MEMBERS):  # a member is in each set once at most, so what is gathered is bounded
+            begin, size = self.starts[at[i : i + MEMBERS]], (self.ends - self.starts)[at[i : i + MEMBERS]]
+            place = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+            out += np.bincount(self.rows[place], minlength=self.n)
+        return out
+
+
 def similar_links(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """(i, j) for each text that is linked, directly or by others, to text j, one for all that are: those whose fingerprints lie
     within ``radius`` and whose sets are alike are."""
@@ -260,7 +288,7 @@ def similar_links(fps: np.ndarray, sets: list[np.ndarray], radius: int, similari
     order = np.argsort(counts, kind="stable")
     fps, counts = fps[order], counts[order].astype(np.int16)
     side = None if side is None else side[order]
-    root = np.arange(len(fps))
+    sizes, root = np.array([len(sets[i]) for i in order], np.int64), np.arange(len(fps))
     for i in range(0, len(fps), TILE):
         top = counts[min(i + TILE, len(fps)) - 1]
         for j in range(i, len(fps), TILE):
@@ -269,12 +297,25 @@ def similar_links(fps: np.ndarray, sets: list[np.ndarray], radius: int, similari
             near = np.bitwise_count(fps[i : i + TILE, None] ^ fps[None, j : j + TILE]) <= radius
             if side is not None:
                 near &= side[i : i + TILE, None] != side[None, j : j + TILE]
+            a, b = sizes[i : i + TILE, None], sizes[None, j : j + TILE]
+            near &= np.minimum(a, b) >= similarity * np.maximum(a, b)
             x, y = np.nonzero(near)
             x, y = x + i, y + j
             apart = (x < y) & (root[x] != root[y])  # what is linked already needs no comparison
-            for a, b in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
-                if root[a] != root[b] and alike(sets[order[a]], sets[order[b]], similarity):
-                    root[root == root[b]] = root[a]
+            x, y = x[apart], y[apart]
+            if not len(x):
+                continue
+            held = np.unique(y)
+            tile = _Tile([sets[k] for k in order[held]])
+            for one, begin in zip(*np.unique(x, return_index=True), strict=True):
+                others = y[begin : np.searchsorted(x, one, side="right")]
+                others = others[root[others] != root[one]]
+                if not len(others):
+                    continue
+                both = tile.shared(sets[order[one]])[np.searchsorted(held, others)]
+                for other in others[both >= similarity * (sizes[one] + sizes[others] - both) - 1e-9].tolist():
+                    if root[one] != root[other]:
+                        root[root == root[other]] = root[one]
     moved = np.flatnonzero(root != np.arange(len(fps)))
     return list(zip(order[moved].tolist(), order[root[moved]].tolist(), strict=True))
 
